@@ -86,6 +86,15 @@ def trimmed(c: Column) -> Column:
 
 
 def ordered_ops(ops: Column) -> Column:
-    """``ops`` in ``ord`` order without null elements; a null list is an empty one. Equal ``ord`` values are ordered by
-    the remaining fields, so that the order never depends on the array's."""
-    return F.array_sort(F.coalesce(F.filter(ops, lambda x: x.isNotNull()), F.array().cast("array<struct<ord:int,kind:string,opcode:string,callee_class:string,callee_name:string,callee_desc:string>>")))
+    """``ops`` in ``ord`` order without null elements (null for null). Equal ``ord`` values are ordered by the remaining
+    fields, so that the order never depends on the array's."""
+    return F.array_sort(F.filter(ops, lambda x: x.isNotNull()))
+
+
+def op_ids(ops: Column) -> Column:
+    """64-bit identities of the ops in ``ord`` order: equal kind, opcode and callee fields give equal ids. Null for null."""
+    part = lambda c: F.coalesce(c, F.lit("\u0000"))  # noqa: E731 - xxhash64 skips nulls
+    return F.transform(
+        ordered_ops(ops),
+        lambda x: F.xxhash64(*(part(x[k]) for k in ("kind", "opcode", "callee_class", "callee_name", "callee_desc"))),
+    )
