@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandbase.runtime import ship
+
 BITS = (8, 16, 24, 32)
 BUFFER = 1 << 18
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -78,6 +80,7 @@ def _summed(table: pa.Table) -> pa.Table:
 
 def frequent_values(df: DataFrame, value: Column, share: float = 0.0025, depth: int = 5, width: int = 4096, slack: float = 0.6) -> DataFrame:
     """(value, n_approx, n_exact, share) of every value with at least ``share`` of the non-null rows."""
+    ship(df.sparkSession)
     spark = df.sparkSession
     hashed = F.shiftrightunsigned(F.xxhash64("value"), 32)
     rows = df.select(value.cast("string").alias("value")).filter("value is not null")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandbase.runtime import cut
+from strandbase.runtime import cut, ship
 
 LANE_SHIFT = 36
 _OUT = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("part_no", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("container", pa.int64())])
@@ -91,6 +91,7 @@ def _streams(items: DataFrame, lanes: int) -> DataFrame:
 
 def pack(df: DataFrame, key: Column, size: Column, capacity: int = 2048, lane_items: int = 250_000) -> DataFrame:
     """(key, n_tokens, part_no, start, length, container): one row for each item, or for each part of a split one."""
+    ship(df.sparkSession)
     kept = df.select(key.cast("bigint").alias("key"), F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0).cast("bigint")).alias("size"))
     kept = cut(kept, "sizes")  # the sizes are costly (a tokenizer's) and read twice
     lanes = max(1, -(-kept.count() // lane_items))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandbase.llm import groups, heavy_hitters, packing, terms, tokens
-from strandbase.runtime import table, trimmed
+from strandbase.llm import groups, heavy_hitters, near_duplicates, packing, terms, tokens, vectors
+from strandbase.runtime import op_ids, table, trimmed
 
 TIED = ("MATCH", "CHANGED")
 
@@ -37,6 +37,35 @@ def p3_frequent_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p3(spark, sf_dir).select(F.col("value").alias("callee"), "n_approx", "n_exact", "share")
 
 
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "package_node"), "vec_id", "features", 13, 5)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.unordered_pairs(_p4(spark, sf_dir))
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4(spark, sf_dir).select(F.col("id").alias("vec_id"), "rank", "neighbour", "distance")
+
+
+def _p5(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = table(spark, sf_dir, "smali_method")
+    return near_duplicates.similar_contents(df, "method_id", F.col("name"), op_ids(F.col("ops")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.expanded_pairs(*_p5(spark, sf_dir)).select("id_a", "id_b")
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each method that takes part: its content class and the number of other classes it is linked to."""
+    links, members = _p5(spark, sf_dir)
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    joined = members.join(ends, "rep", "left")
+    return joined.select(F.col("id").alias("method_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "match_result")
     vertices = df.select(F.explode(F.array("old_pkg_id", "new_pkg_id")).alias("pkg_id"))
@@ -62,4 +91,4 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p9(spark, sf_dir).select(F.col("key").alias("doc_id"), "part_no", "start", "length", "container")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_frequent_callees, p6_found, p8_ids, p9_found, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_frequent_callees, p4_found, p4_nearest, p5_found, p5_classes, p6_found, p8_ids, p9_found, p9_containers)}

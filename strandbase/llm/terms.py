@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandbase.runtime import cut
+from strandbase.runtime import cut, ship
 
 MAX_HEAVY_BYTES = 1024
 _OUT = "field string, term string, n_total bigint, n_records bigint"
@@ -108,6 +108,7 @@ def term_frequencies(
     df: DataFrame, record_id: str, lists: dict[str, Column], order: str | None = None, max_heavy: int = 1024
 ) -> tuple[DataFrame, int]:
     """(field, term, n_total, n_records) for every distinct term, and the number of records."""
+    ship(df.sparkSession)
     fields = list(lists)
     raw = df.select(*(c.alias(f) for f, c in lists.items()))
     heavy: dict[str, list[str]] = {}

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandbase.runtime import ship
+
 #: Fixed value: the public split pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -146,6 +148,7 @@ def _encoder(path: str, only_count: bool):
 
 def token_ids(df: DataFrame, key: Column, text: Column, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids): one row for each row of ``df``."""
+    ship(df.sparkSession)
     rows = df.select(key.alias("key"), text.cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(_encoder(vocabulary, False), f"key {kind}, made array<int>").select("key", F.col("made").alias("ids"))
@@ -153,6 +156,7 @@ def token_ids(df: DataFrame, key: Column, text: Column, vocabulary: str = VOCABU
 
 def token_counts(df: DataFrame, key: Column, text: Column, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens): one row for each row of ``df``; 0 for null and empty texts."""
+    ship(df.sparkSession)
     rows = df.select(key.alias("key"), text.cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(_encoder(vocabulary, True), f"key {kind}, made bigint").select("key", F.col("made").alias("n_tokens"))
