@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,8 +15,21 @@ _written: list[tuple[SparkSession, str]] = []
 _own_dir: str | None = None
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_strandbase_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="strandbase-code-")  # read by the driver only, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    context.addPyFile(shutil.make_archive(f"{folder}/strandbase", "zip", os.path.dirname(here), os.path.basename(here)))
+    context._strandbase_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,8 +61,6 @@ def _clean() -> None:
         if spark.sparkContext._jsc is not None:
             _remove(spark, path)
     if _own_dir:
-        import shutil
-
         shutil.rmtree(_own_dir[len("file://"):], ignore_errors=True)
 
 
