@@ -20,7 +20,23 @@ select callee, cast(count(*) as bigint) as n_exact from call_edge where callee i
 group by callee having count(*) >= 0.0025 * (select total from n)
 """
 
+_SPANS = """
+with m as (select method_id, list_transform(list_sort(list_filter(ops, lambda x: x is not null)),
+    lambda x: hash(x.kind, coalesce(x.opcode, ''), coalesce(x.callee_class, ''), coalesce(x.callee_name, ''), coalesce(x.callee_desc, ''))) as e from smali_method),
+w as (select method_id, i as pos, e[i + 1 : i + 16] as gram from (select method_id, e, unnest(range(0, len(e) - 15)) as i from m where len(e) >= 16)),
+twice as (select gram from w group by gram having count(distinct method_id) > 1),
+hit as (select distinct method_id, unnest(range(pos, pos + 16)) as pos from w join twice using (gram)),
+island as (select *, pos - row_number() over (partition by method_id order by pos) as k from hit),
+spans as (select method_id, cast(min(pos) as int) as from_pos, cast(max(pos) as int) as to_pos from island group by method_id, k)
+"""
+
 ORACLE = {
+    "p7_found": _SPANS + "select * from spans",
+    "p7_shared_share": _SPANS + """
+, s as (select method_id, sum(to_pos - from_pos + 1) as n from spans group by 1)
+select method_id, cast(coalesce(len(e), 0) as bigint) as n_ops, cast(coalesce(s.n, 0) as bigint) as n_shared,
+  case when len(e) > 0 then coalesce(s.n, 0) / len(e) else 0.0 end as share
+from m left join s using (method_id)""",
     "p1_found": _TERMS + "select field, term, mark from marked where mark is not null",
     "p1_term_counts": _TERMS + "select field, term, n_total, n_records, mark from marked",
     "p3_found": f"select callee from ({_FREQUENT})",

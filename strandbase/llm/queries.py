@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandbase.llm import groups, heavy_hitters, near_duplicates, packing, terms, tokens, vectors
+from strandbase.llm import groups, heavy_hitters, near_duplicates, packing, shared_spans, terms, tokens, vectors
 from strandbase.runtime import op_ids, table, trimmed
 
 TIED = ("MATCH", "CHANGED")
@@ -73,6 +73,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.group_ids(accepted, "old_pkg_id", "new_pkg_id", vertices, "pkg_id")
 
 
+def _p7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, sf_dir, "smali_method"), "method_id", op_ids(F.col("ops")), 16)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir).select(F.col("id").alias("method_id"), "from_pos", "to_pos")
+
+
+def p7_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every method the number of its ops, of the shared ones, and their share (0 without ops)."""
+    spans = _p7(spark, sf_dir).groupBy("id").agg(F.sum(F.col("to_pos") - F.col("from_pos") + 1).alias("n_shared"))
+    n_ops = F.greatest(F.size(F.filter("ops", lambda x: x.isNotNull())), F.lit(0))
+    methods = table(spark, sf_dir, "smali_method").select("method_id", n_ops.cast("bigint").alias("n_ops"))
+    n_shared = F.coalesce("n_shared", F.lit(0))
+    share = F.when(F.col("n_ops") > 0, n_shared / F.col("n_ops")).otherwise(0.0)
+    return methods.join(spans, methods["method_id"] == spans["id"], "left").select("method_id", "n_ops", n_shared.alias("n_shared"), share.alias("share"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = tokens.token_ids(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
     return made.select(F.col("key").alias("doc_id"), "ids")
@@ -91,4 +109,4 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p9(spark, sf_dir).select(F.col("key").alias("doc_id"), "part_no", "start", "length", "container")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_frequent_callees, p4_found, p4_nearest, p5_found, p5_classes, p6_found, p8_ids, p9_found, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_frequent_callees, p4_found, p4_nearest, p5_found, p5_classes, p6_found, p7_found, p7_shared_share, p8_ids, p9_found, p9_containers)}
