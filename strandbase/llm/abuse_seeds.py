@@ -1,0 +1,52 @@
+"""Short phrases typical of abusive, hateful or sexual speech, added to what the labelled sample shows.
+
+Written by hand as general seeds in six languages, after samples of the corpus had been looked at; they can be replaced
+through this list. Phrases, not single words: a word alone says little about how it is meant.
+"""
+
+#: Seed phrases by language.
+SEEDS: list[str] = [
+    # English
+    "you are pathetic", "you are a pathetic loser", "you make me sick", "you disgust me", "what a waste of space you are", "you are a waste of oxygen",
+    "crawl back under your rock", "go to hell", "drop dead", "kill yourself", "nobody likes you", "you stupid dumbass", "piece of shit", "you ugly bitch",
+    "son of a bitch", "shut your mouth", "i will kill you", "i will beat you up", "you deserve to suffer", "you are garbage",
+    "they are not human", "they are not people, they are animals", "subhuman filth", "they breed like rats", "they multiply like cockroaches",
+    "they steal everything", "never hire them", "never rent to them", "do not let them into your house", "send them all back", "get out of our country",
+    "wipe them all out", "dirty foreigners",
+    "hot singles want you tonight", "lonely housewives want sex tonight", "call me for hot sex", "come to my bed tonight", "i touch myself when i think of you",
+    "your big breasts", "your naked body", "suck my dick", "lick my pussy", "give me a blowjob", "i masturbate every night", "i want you naked",
+    "hardcore sex videos", "they fucked all night",
+    # German
+    "du bist erbärmlich", "du kotzt mich an", "du ekelst mich an", "was für eine Platzverschwendung du bist", "verkriech dich in dein Loch", "fahr zur Hölle",
+    "verrecke", "bring dich um", "niemand mag dich", "du dumme Schlampe", "du Stück Scheiße", "halt dein Maul", "ich bringe dich um", "du bist Abfall",
+    "das sind keine Menschen", "das sind Tiere", "sie vermehren sich wie die Ratten", "sie klauen alles", "vermiete nie an sie", "stell sie nie ein",
+    "schickt sie alle zurück", "raus aus unserem Land", "dreckige Ausländer",
+    "heiße Singles wollen dich heute Nacht", "einsame Hausfrauen wollen Sex", "ruf mich an für heißen Sex", "komm heute Nacht in mein Bett",
+    "ich fasse mich an und denke an dich", "ich befriedige mich jede Nacht selbst", "deine großen Brüste", "dein nackter Körper", "lutsch meinen Schwanz", "ich will dich nackt",
+    # French
+    "tu es pathétique", "tu me dégoûtes", "tu me donnes envie de vomir", "quel gaspillage d'oxygène tu es", "retourne dans ton trou", "va en enfer", "crève",
+    "va te tuer", "personne ne t'aime", "sale pute", "espèce de merde", "ferme ta gueule", "je vais te tuer", "tu n'es qu'un déchet",
+    "ce ne sont pas des humains", "ce sont des animaux", "ils se reproduisent comme des rats", "ils volent tout", "ne leur louez jamais rien",
+    "ne les embauchez jamais", "renvoyez-les tous", "dehors de notre pays", "sales étrangers",
+    "des célibataires chaudes te veulent ce soir", "des femmes seules cherchent du sexe cette nuit", "appelle-moi pour du sexe", "viens dans mon lit cette nuit",
+    "je me touche en pensant à toi", "je me masturbe chaque nuit", "tes gros seins", "ton corps nu", "suce ma bite", "je te veux nue",
+    # Spanish
+    "eres patético", "me das asco", "qué desperdicio de espacio eres", "vuelve a tu agujero", "vete al infierno", "ojalá te mueras", "mátate", "nadie te quiere",
+    "puta asquerosa", "pedazo de mierda", "cierra la boca", "te voy a matar", "eres basura",
+    "no son humanos", "son animales", "se reproducen como ratas", "lo roban todo", "nunca les alquiles nada", "nunca los contrates", "que los echen a todos",
+    "fuera de nuestro país", "sucios extranjeros",
+    "solteras calientes te quieren esta noche", "mujeres solas quieren sexo esta noche", "llámame para sexo", "ven a mi cama esta noche", "me toco pensando en ti",
+    "me masturbo cada noche", "tus grandes pechos", "tu cuerpo desnudo", "chúpame la polla", "te quiero desnuda",
+    # Russian
+    "ты жалок", "ты жалкий неудачник", "меня тошнит от тебя", "ты мне противен", "ты зря занимаешь место", "заползай обратно в свою нору", "иди к чёрту", "сдохни", "убей себя",
+    "никто тебя не любит", "тупая сука", "кусок дерьма", "закрой рот", "я тебя убью", "ты мусор",
+    "они не люди", "они животные", "плодятся как крысы", "они всё крадут", "никогда не сдавай им жильё", "не бери их на работу", "вышлите их всех",
+    "вон из нашей страны", "грязные чужаки",
+    "горячие девушки ждут тебя сегодня ночью", "одинокие женщины хотят секса", "позвони мне ради секса", "приходи ко мне в постель", "ласкаю себя и думаю о тебе",
+    "я мастурбирую каждую ночь", "твоя большая грудь", "твоё голое тело", "отсоси мой член", "хочу тебя голую",
+    # Japanese
+    "お前は哀れだ", "お前は情けない奴だ", "お前には吐き気がする", "気持ち悪い奴め", "お前は酸素の無駄だ", "穴に帰れ", "地獄に落ちろ", "くたばれ", "自殺しろ", "誰もお前が好きじゃない",
+    "このクソ女", "お前はゴミだ", "口を閉じろ", "殺してやる",
+    "あいつらは人間じゃない", "あいつらは動物だ", "ネズミのように増える", "何でも盗む", "あいつらに家を貸すな", "あいつらを雇うな", "全員送り返せ", "この国から出て行け", "汚い外国人",
+    "今夜あなたを求める女", "寂しい主婦がセックスを求めている", "セックスしたいなら電話して", "今夜ベッドに来て", "君を思って自分を触る", "毎晩自慰をする", "君の大きな胸", "君の裸の体", "裸の君が欲しい",
+]

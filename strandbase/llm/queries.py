@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandbase.llm import groups, heavy_hitters, near_duplicates, packing, shared_spans, terms, tokens, vectors
+from strandbase.llm import abuse, groups, heavy_hitters, near_duplicates, packing, shared_spans, terms, tokens, vectors
 from strandbase.runtime import op_ids, table, trimmed
 
 TIED = ("MATCH", "CHANGED")
@@ -109,4 +109,21 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p9(spark, sf_dir).select(F.col("key").alias("doc_id"), "part_no", "start", "length", "container")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_frequent_callees, p4_found, p4_nearest, p5_found, p5_classes, p6_found, p7_found, p7_shared_share, p8_ids, p9_found, p9_containers)}
+def _p10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, sf_dir, "documents"), ["doc_id", "source"], F.col("text"), table(spark, sf_dir, "abuse_sample"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p10(spark, sf_dir).filter("flagged").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p10(spark, sf_dir).select("doc_id", "score", "flagged")
+
+
+def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = F.sum(F.col("flagged").cast("bigint"))
+    return _p10(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_docs"), flagged.alias("n_flagged"), (flagged / F.count("*")).alias("rate"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_frequent_callees, p4_found, p4_nearest, p5_found, p5_classes, p6_found, p7_found, p7_shared_share, p8_ids, p9_found, p9_containers, p10_found, p10_scores, p10_source_rates)}
