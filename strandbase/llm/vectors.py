@@ -33,6 +33,7 @@ from strandbase.runtime import cut, ship
 
 MIN_PER_CENTROID = 8
 BLOCK = 2048
+ROUTE_ROWS = 4000
 
 
 def _split(x: np.ndarray, rng: np.random.Generator, ways: int) -> np.ndarray:
@@ -182,8 +183,9 @@ def nearest(
     if not len(x):  # none, or so few that the sample missed them
         x = np.zeros((1, dims))
     centres = balanced_centroids(x, max(MIN_PER_CENTROID, round(list_size * share)))
+    # Routing is costly for each row but the rows are small, so tasks are cut by rows, not by bytes.
     routed = cut(
-        entries.mapInArrow(_route(centres, dims, beam, replicas, store_ratio, min_probes, probe_ratio), "vec array<double>, ids array<bigint>, gid bigint, store array<int>, probe array<int>"),
+        entries.repartition(max(1, -(-n // ROUTE_ROWS))).mapInArrow(_route(centres, dims, beam, replicas, store_ratio, min_probes, probe_ratio), "vec array<double>, ids array<bigint>, gid bigint, store array<int>, probe array<int>"),
         "routed",
     )
     stored = routed.select(F.explode("store").alias("list"), F.lit(False).alias("query"), "gid", "vec", "ids")
