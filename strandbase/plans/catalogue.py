@@ -1,6 +1,6 @@
 """All queries of the core and their oracles."""
 
-from strandbase.plans import edits
+from strandbase.plans import edits, star, structure
 
-QUERIES = {**edits.QUERIES}
-ORACLE = {**edits.ORACLE}
+QUERIES = {**structure.QUERIES, **star.QUERIES, **edits.QUERIES}
+ORACLE = {**structure.ORACLE, **star.ORACLE, **edits.ORACLE}
