@@ -364,6 +364,8 @@ def test_normalise():
     assert words("iddddiot m0r0n b4$74rd") == "idiot moron bastard"
     assert words("f​асе") == "face"
     assert words("crève") == "creve"
+    assert words("дурак".encode().decode("latin-1")) == "дурак"
+    assert words("Ã is fine &amp; so") == "a is fine so"
     assert abuse.Unmask(["idiot", "face"])("an i*iot, f**e") == "an i*iot, face"
     assert abuse.Unmask(["idiot", "face"])("an i*iot") == "an idiot"
 
