@@ -381,3 +381,12 @@ def test_abuse(spark):
     assert got.filter("score <> 0 and doc in (4, 5)").count() == 0
     assert abuse.abuse_scores(df.limit(0), ["doc"], F.col("text"), sample).count() == 0
     assert abuse.abuse_scores(df, ["doc"], F.col("text"), sample.limit(0)).filter("flagged").count() == 0
+
+
+def test_corpus_counts_settle_doubtful_runs():
+    asked = {("a",): 0.01, ("b",): 0.01, ("sure",): 0.05}
+    found = {("a",): 2, ("b",): 12, ("sure",): 10}
+    assert abuse._ordinary(asked, {("sure",)}, found, 1000, 0.45) == {("b",)}
+    assert abuse._ordinary(asked, {("sure",)}, found | {("sure",): 60}, 1000, 0.45) == frozenset()  # as abusive as the sample
+    assert abuse._ordinary(asked, set(), found, 1000, 0.45) == frozenset()
+    assert abuse._ordinary(asked, {("sure",)}, {}, 0, 0.45) == frozenset()
