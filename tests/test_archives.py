@@ -219,3 +219,19 @@ def test_text_manifests(spark, tmp_path):
     (row,) = manifest_summary(elements).collect()
     assert (row["apk_id"], row["package_name"], row["application"]["debuggable"], row["uses_permissions"], row["supports_screens"], row["main_activity"]) == ("one", "q", True, [], None, None)
     assert [r["apk_id"] for r in errors.collect()] == ["two"]
+
+
+def test_command_line(spark, pair, capsys, monkeypatch):
+    from strandbase import __main__ as cli
+
+    assert cli.main(["permissions", f"{pair}/old.apk", f"{pair}/new.apk"]) == 0
+    assert capsys.readouterr().out == "DELETED: a.Q\nDELETED: a.Q\nADDED: a.R\n"
+    assert cli.main(["match", f"{pair}/old.apk", f"{pair}/new.apk", "-d", "--node-matching"]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0].split() == ["Package", "(old)", "Package", "(new)", "Score", "Status"]
+    assert "" in out and out[-1].endswith("(added)") or "(removed)" in out[-1]
+    assert cli.main(["compare", f"{pair}/bad.apk", f"{pair}/new.apk"]) == 1
+    assert capsys.readouterr().err.startswith("Error parsing old apk:")
+    assert cli.main(["callgraph", f"{pair}/old.apk", "-f", "["]) == 1
+    assert cli.main(["manifest", f"{pair}/new.apk"]) == 0
+    assert capsys.readouterr().out == REPORT
