@@ -227,6 +227,7 @@ def shared_spans(df: DataFrame, id_col: str, elements: Column, least: int = 16,
     found = parts.groupBy("shard", "part").applyInArrow(_matched(least), "key bigint, h bigint, a int, b int")
     marked = whole.unionByName(found)
     placed = pieces.select("key", "h", "id", "start").join(marked, ["key", "h"]).select("id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    placed = placed.distinct()  # a record delivered over and over is one record before it is sorted
     order = Window.partitionBy("id").orderBy("a", "b")
     reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = placed.withColumn("fresh", (reached.isNull() | (F.col("a") > reached + 1)).cast("int")).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
