@@ -198,10 +198,11 @@ def similar_contents(
     """(a, b, similarity) between the smallest ids of different contents, and the members (rep, id, copies)."""
     ship(df.sparkSession)
     head = F.xxhash64(F.lit("name"), F.coalesce(name, F.lit("\u0000")))
-    usable = df.select(F.col(id_col).cast("bigint").alias("id"), head.alias("head"), elements.alias("e")).filter(F.col("id").isNotNull() & (F.size("e") >= least))
-    content = usable.select("id", F.concat(F.array("head"), "e").alias("content"))
+    # Written before it is filtered: a filter on the elements' number would have them made twice.
+    content = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.concat(F.array(head), elements).alias("content"))
     digest = F.struct(F.xxhash64("content").alias("x"), F.xxhash64(F.lit(5), "content").alias("y"))
-    rows_in = cut(content.withColumn("digest", digest), "contents")
+    written = cut(content, "contents")
+    rows_in = written.filter(F.size("content") > least).withColumn("digest", digest)
     members = rows_in.select("digest.x", "digest.y", "id").distinct()
     reps = members.groupBy("x", "y").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = cut(members.join(reps, ["x", "y"]).select("rep", "id", "copies"), "members_of")
@@ -211,7 +212,7 @@ def similar_contents(
     banded = cut(entries.mapInArrow(_bands(bands, rows, seed), "rep bigint, n int, bands array<bigint>"), "bands")
     keyed = banded.select(F.explode("bands").alias("key"), "rep", "n")
     pairs = cut(_bucket_pairs(keyed, entries, similarity, hot), "pairs")
-    release(rows_in, banded)
+    release(written, banded)
     by_a, by_b = entries.select(F.col("rep").alias("a"), F.col("content").alias("ca")), entries.select(F.col("rep").alias("b"), F.col("content").alias("cb"))
     full = pairs.join(by_a, "a").join(by_b, "b").select("a", "b", "ca", "cb")
     return full.mapInArrow(_verify(similarity), "a bigint, b bigint, similarity double"), members
