@@ -204,7 +204,8 @@ def _matched(least: int):
 def shared_spans(df: DataFrame, id_col: str, elements: Column, least: int = 16, shard_tokens: int = 50_000) -> DataFrame:
     """(id, from_pos, to_pos): the longest stretches of consecutive shared positions of every record."""
     ship(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), elements.alias("e")).filter(F.col("id").isNotNull() & (F.size("e") >= least))
+    # Records that are too short yield nothing in the pass itself; a filter on their size would have the elements made twice.
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), elements.alias("e"))
     pieces = cut(rows.mapInArrow(_cut_up(least), "key bigint, h bigint, id bigint, start int, n int, content array<bigint>"), "stretches")
     entries = pieces.groupBy("key", "h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("n").alias("n"))
     entries = cut(entries, "stretch_entries")
