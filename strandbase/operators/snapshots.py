@@ -22,15 +22,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandbase.runtime import cut, ordered_ops, trimmed
+from strandbase.runtime import cut, op_kinds, trimmed
 
 FANOUT_BITS = 4
 
 
 def op_sequence_digest(ops: Column) -> Column:
     """Digest of the sequence of opcodes (kind where null) in ``ord`` order; operands don't count."""
-    kinds = F.transform(ordered_ops(ops), lambda x: F.coalesce(x["opcode"], x["kind"], F.lit("\u0000")))
-    return F.xxhash64(F.lit(0), F.coalesce(kinds, F.array().cast("array<string>")))
+    return F.xxhash64(F.lit(0), F.coalesce(op_kinds(ops), F.array().cast("array<string>")))
 
 
 def set_digest(values: Column) -> Column:

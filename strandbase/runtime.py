@@ -103,6 +103,19 @@ def ordered_ops(ops: Column) -> Column:
     return F.array_sort(F.filter(ops, lambda x: x.isNotNull()))
 
 
+def op_fields(ops: Column, *names: str) -> Column:
+    """``ops`` with the named fields only. Unlike a function over whole elements this lets the scan skip the other fields'
+    columns, which hold most of the bytes."""
+    return F.arrays_zip(*(ops[n] for n in names))
+
+
+def op_kinds(ops: Column) -> Column:
+    """The sequence of opcodes in ``ord`` order, the element's kind where there is none. Null for null; elements that have
+    neither, null ones among them, are left out."""
+    named = F.filter(op_fields(ops, "ord", "opcode", "kind"), lambda x: x["opcode"].isNotNull() | x["kind"].isNotNull())
+    return F.transform(F.array_sort(named), lambda x: F.coalesce(x["opcode"], x["kind"]))
+
+
 def op_ids(ops: Column) -> Column:
     """64-bit identities of the ops in ``ord`` order: equal kind, opcode and callee fields give equal ids. Null for null."""
     part = lambda c: F.coalesce(c, F.lit("\u0000"))  # noqa: E731 - xxhash64 skips nulls
