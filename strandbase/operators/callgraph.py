@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from strandbase.functions.filters import class_filter, is_invoke
 from strandbase.functions.names import call_label, jni_class_to_java
+from strandbase.runtime import op_fields
 
 
 def invocations(methods: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., class_java, name, opcode, callee_class, callee_name, callee_desc) of every invoke op. The ops are filtered
-    inside the array, before they become rows."""
-    calls = F.filter("ops", lambda x: is_invoke(x["opcode"]) & x["callee_class"].isNotNull())
-    rows = methods.select(*keep, "class_java", "name", F.explode(calls).alias("op"))
-    return rows.select(*keep, "class_java", "name", "op.opcode", "op.callee_class", "op.callee_name", "op.callee_desc")
+    """(keep..., class_java, name, callee_class, callee_name) of every invoke op. The ops are filtered inside the array, before
+    they become rows, and only the three fields needed are read."""
+    needed = op_fields(F.col("ops"), "opcode", "callee_class", "callee_name")
+    calls = F.filter(needed, lambda x: is_invoke(x["opcode"]) & x["callee_class"].isNotNull())
+    return methods.select(*keep, "class_java", "name", F.explode(calls).alias("op")).select(*keep, "class_java", "name", "op.callee_class", "op.callee_name")
 
 
 def call_edges(methods: DataFrame, class_filters: Iterable[str] | None = None, *keep: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Method-level differences between the old and the new side of each application, and their extraction to files.
 
 A class defined again later replaces the earlier definition; of an old method defined again in its class the last holds. A
-method has changed when its sequence of op kinds differs; operands don't count. Null ops lists equal empty ones.
+method has changed when its sequence of op kinds differs (P19); operands don't count. Null ops lists equal empty ones.
 """
 
 from __future__ import annotations
@@ -13,46 +13,44 @@ from pyspark.sql import functions as F
 
 from strandbase.functions.filters import class_filter, filtered_lines
 from strandbase.functions.names import class_directory, java_signature, method_filename
-from strandbase.runtime import ordered_ops, ship
+from strandbase.runtime import op_kinds, ship
 
 DEFINITION = ["side", "apk_id", "dex_ord", "class_ord"]
 
 
-def op_kinds(ops: Column) -> Column:
-    """The sequence of opcodes in order, the element's kind where there is none."""
-    return F.coalesce(F.transform(ordered_ops(ops), lambda x: F.coalesce(x["opcode"], x["kind"])), F.array().cast("array<string>"))
-
-
 def effective_methods(classes: DataFrame, methods: DataFrame, class_filters: Iterable[str] | None = None) -> DataFrame:
     """The methods of the last definition of each class (A14). A later definition without methods hides the earlier ones."""
     named = classes.filter(F.col("class_java").isNotNull() & class_filter(F.col("class_java"), class_filters))
-    last = named.groupBy("side", "apk_id", "class_java").agg(F.max(F.struct("dex_ord", "class_ord")).alias("last"))
-    wanted = last.select("side", "apk_id", F.col("last.dex_ord").alias("dex_ord"), F.col("last.class_ord").alias("class_ord"))
+    place = F.shiftleft(F.col("dex_ord").cast("bigint"), 32) + F.col("class_ord")  # one number, so that a hash aggregate can keep it
+    last = named.groupBy("side", "apk_id", "class_java").agg(F.max(place).alias("last"))
+    wanted = last.select("side", "apk_id", F.shiftright("last", 32).cast("int").alias("dex_ord"), F.col("last").bitwiseAND(0xFFFFFFFF).cast("int").alias("class_ord"))
     return methods.join(wanted, DEFINITION, "left_semi")
 
 
-def _signed(methods: DataFrame, side: str, *keep: Column) -> DataFrame:
+def _signed(methods: DataFrame, *keep: str) -> DataFrame:
+    """What the comparison needs of each method. This comes before any join: the scan then reads no operands, and digests
+    instead of sequences are shuffled (equal digests of unequal sequences have a chance of 2^-64)."""
     signature = java_signature(F.col("class_java"), F.col("ret_type"), F.col("name"), F.col("arg_types"))
-    # Digests instead of sequences keep the join's rows short; equal digests of unequal sequences have a chance of 2^-64.
-    digest = F.xxhash64(F.lit(0), op_kinds(F.col("ops")))
-    return methods.filter(F.col("side") == side).select("apk_id", "class_java", signature.alias("signature"), digest.alias("digest"), "method_ord", *keep)
+    digest = F.xxhash64(F.lit(0), F.coalesce(op_kinds(F.col("ops")), F.array().cast("array<string>")))
+    info = F.struct(*keep) if keep else F.lit(0)
+    return methods.select(*DEFINITION, "class_java", "method_ord", signature.alias("signature"), digest.alias("digest"), info.alias("info"))
 
 
-def _compared(methods: DataFrame, *keep: str) -> DataFrame:
+def _compared(classes: DataFrame, methods: DataFrame, class_filters: Iterable[str] | None, *keep: str) -> DataFrame:
     """A full outer join of both sides on class and signature (J1-J3), with the ``keep`` columns of each side as structs."""
     key = ["apk_id", "class_java", "signature"]
-    info = F.struct(*keep) if keep else F.lit(0)
-    new = _signed(methods, "new", info.alias("new_info")).withColumnRenamed("digest", "new_digest")
-    old = _signed(methods, "old", info.alias("old_info"))
-    old = old.groupBy(*key).agg(F.max_by("digest", "method_ord").alias("old_digest"), F.max_by("old_info", "method_ord").alias("old_info"), F.count("*").alias("copies"))
-    both = new.drop("method_ord").join(old, key, "full_outer")
+    rows = effective_methods(classes, _signed(methods, *keep), class_filters)
+    new = rows.filter("side = 'new'").select(*key, F.col("digest").alias("new_digest"), F.col("info").alias("new_info"))
+    old = rows.filter("side = 'old'").groupBy(*key)
+    old = old.agg(F.max_by("digest", "method_ord").alias("old_digest"), F.max_by("info", "method_ord").alias("old_info"), F.count("*").alias("copies"))
+    both = new.join(old, key, "full_outer")
     edit = F.when(F.col("old_digest").isNull(), "ADDED").when(F.col("new_digest").isNull(), "REMOVED").when(F.col("old_digest") != F.col("new_digest"), "CHANGED")
     return both.withColumn("edit", edit).filter("edit is not null")
 
 
 def method_diff(classes: DataFrame, methods: DataFrame, class_filters: Iterable[str] | None = None) -> DataFrame:
     """(apk_id, edit, signature) with edit ADDED, REMOVED or CHANGED; a removed method defined twice is given twice."""
-    found = _compared(effective_methods(classes, methods, class_filters))
+    found = _compared(classes, methods, class_filters)
     times = F.when(F.col("edit") == "REMOVED", F.col("copies")).otherwise(1).cast("int")
     return found.select("apk_id", "edit", "signature", F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
 
@@ -65,8 +63,7 @@ def diff_lines(diff: DataFrame) -> DataFrame:
 def extracted_files(classes: DataFrame, methods: DataFrame, class_filters: Iterable[str] | None = None, line_filters: Iterable[str] | None = None) -> DataFrame:
     """(apk_id, root, path, content): a file on each side that has the changed, added or removed method (K3). Where two
     methods would get one path, the last of them holds."""
-    methods = effective_methods(classes, methods, class_filters)
-    found = _compared(methods, "name", "arg_types", "smali_text", "method_ord")
+    found = _compared(classes, methods, class_filters, "name", "arg_types", "smali_text", "method_ord")
     sides = F.array(F.struct(F.lit("new").alias("root"), F.col("new_info").alias("info")), F.struct(F.lit("old").alias("root"), F.col("old_info").alias("info")))
     rows = found.select("apk_id", "class_java", F.explode(sides).alias("s")).select("apk_id", "class_java", "s.root", "s.info.*").filter("name is not null")
     path = F.concat(class_directory(F.col("class_java")), F.lit("/"), method_filename(F.col("name"), F.col("arg_types")))

@@ -29,31 +29,24 @@ def package_method_counts(classes: DataFrame, methods: DataFrame) -> DataFrame:
     return own.union(defined).filter("pkg is not null").groupBy(*PACKAGE).agg(F.sum("n").cast("bigint").alias("n_methods"))
 
 
-def _defined(methods: DataFrame) -> DataFrame:
-    """The last definition of every method key in its package."""
+def _described(methods: DataFrame) -> DataFrame:
+    """Counts over each method's ops without making rows of them: a short code for each op, then the codes counted (A3). This
+    comes before any shuffle, so that bodies never travel."""
     key = method_key(F.col("class_jni"), F.col("name"), F.col("descriptor"))
-    rows = methods.withColumn("pkg", package_of(F.col("class_jni"))).filter("pkg is not null")
-    rows = rows.select(*PACKAGE, key.alias("method_key"), "n_param_entries", "dex_ord", "class_ord", "method_ord", "ops")
-    last = Window.partitionBy(*PACKAGE, "method_key").orderBy(F.desc("dex_ord"), F.desc("class_ord"), F.desc("method_ord"))
-    return rows.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n", "dex_ord", "class_ord", "method_ord").withColumn("node", F.xxhash64("method_key"))
-
-
-def _described(defined: DataFrame) -> DataFrame:
-    """Counts over each method's ops without making rows of them: a short code for each op, then the codes counted (A3)."""
     real = F.filter("ops", lambda x: x["kind"] == "Op")
     invoked = F.filter(real, lambda x: is_invoke(x["opcode"]))
     place = F.transform(invoked, lambda x: F.when(package_of(x["callee_class"]) == F.col("pkg"), "own").otherwise(external_kind(x["callee_class"])))
     form = F.transform(invoked, lambda x: F.regexp_extract(x["opcode"], "^Invoke(Virtual|Super|Static|Direct|Interface|Polymorphic)", 1))
     own = F.filter(invoked, lambda x: package_of(x["callee_class"]) == F.col("pkg"))
-    rows = defined.withColumns({
-        "places": place, "forms": form, "num_instructions": F.size(real),
+    rows = methods.withColumn("pkg", package_of(F.col("class_jni"))).filter("pkg is not null").withColumns({
+        "method_key": key, "places": place, "forms": form, "num_instructions": F.size(real),
         "has_branches": F.exists(real, lambda x: is_branch(x["opcode"])).cast("int"),
         "calls": F.transform(own, lambda x: F.xxhash64(method_key(x["callee_class"], x["callee_name"], x["callee_desc"]))),
     })
     count = lambda c, *names: F.coalesce(F.size(F.filter(c, lambda x: x.isin(*names))), F.lit(0))
     some = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))  # noqa: E731 - the size of null is -1
     return rows.select(
-        *NODE, "method_key", "calls", some(F.size("forms")).alias("out_degree"),
+        *PACKAGE, "method_key", F.xxhash64("method_key").alias("node"), "dex_ord", "class_ord", "method_ord", "calls", some(F.size("forms")).alias("out_degree"),
         some(count("places", "android", "androidx")).alias("ext_android"), some(count("places", "java")).alias("ext_java"),
         some(count("places", "kotlin")).alias("ext_kotlin"), some(count("places", "other")).alias("ext_other"),
         some(count("forms", "Virtual", "Super")).alias("invoke_virtual"), some(count("forms", "Static")).alias("invoke_static"),
@@ -62,10 +55,16 @@ def _described(defined: DataFrame) -> DataFrame:
     )
 
 
+def _defined(described: DataFrame) -> DataFrame:
+    """The last definition of every method key in its package."""
+    last = Window.partitionBy(*PACKAGE, "method_key").orderBy(F.desc("dex_ord"), F.desc("class_ord"), F.desc("method_ord"))
+    return described.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n", "dex_ord", "class_ord", "method_ord")
+
+
 def package_graph(methods: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (side, apk_id, pkg, node, method_key, 13 features) and edges (side, apk_id, pkg, node, to), repeated calls kept;
     a call to a method the package doesn't define is no edge (G1, J4, A4)."""
-    described = cut(_described(_defined(methods)), "described")
+    described = cut(_defined(_described(methods)), "described")
     calls = described.select(*PACKAGE, "node", F.explode("calls").alias("to"))
     targets = described.select(*PACKAGE, F.col("node").alias("to"))
     edges = cut(calls.join(targets, [*PACKAGE, "to"]).select(*NODE, "to"), "edges")
