@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +18,26 @@ _own_dir: str | None = None
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers, once for each Spark context."""
+    """Makes this package importable in the Python workers, once for each Spark context: an archive of its sources in the
+    shared folder."""
     context = spark.sparkContext
     if getattr(context, "_strandbase_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="strandbase-code-")  # read by the driver only, which serves it to the executors
-    atexit.register(shutil.rmtree, folder, True)
-    context.addPyFile(shutil.make_archive(f"{folder}/strandbase", "zip", os.path.dirname(here), os.path.basename(here)))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in sorted(os.walk(here)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(here)))
+    path = f"{shared_dir(spark)}/strandbase-code/{os.getpid()}-{uuid.uuid4().hex[:12]}.zip"
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+    out.write(held.getvalue())
+    out.close()
+    _written.append((spark, path))
+    context.addPyFile(path)
     context._strandbase_shipped = True
 
 
