@@ -30,7 +30,19 @@ island as (select *, pos - row_number() over (partition by method_id order by po
 spans as (select method_id, cast(min(pos) as int) as from_pos, cast(max(pos) as int) as to_pos from island group by method_id, k)
 """
 
+_NEAREST = """
+with v as (select vec_id, features as f from package_node where vec_id is not null and len(features) = 13 and len(list_filter(features, lambda x: x is null)) = 0),
+d as (
+  select a.vec_id, b.vec_id as neighbour, list_sum(list_transform(range(1, 14), lambda i: (a.f[i]::bigint - b.f[i]::bigint) * (a.f[i]::bigint - b.f[i]::bigint))) as distance
+  from v a join v b on a.vec_id <> b.vec_id),
+near as (
+  select vec_id, cast(row_number() over (partition by vec_id order by distance, neighbour) as int) as rank, neighbour, cast(distance as double) as distance from d
+  qualify rank <= 5)
+"""
+
 ORACLE = {
+    "p4_found": _NEAREST + "select distinct least(vec_id, neighbour) as id_a, greatest(vec_id, neighbour) as id_b from near",
+    "p4_nearest": _NEAREST + "select * from near",
     "p7_found": _SPANS + "select * from spans",
     "p7_shared_share": _SPANS + """
 , s as (select method_id, sum(to_pos - from_pos + 1) as n from spans group by 1)
