@@ -18,7 +18,7 @@ between two different contents is given for all members likewise. So no link bet
 output stays linear in the copies.
 
 Defined cases: records with fewer than ``least`` elements (the name not counted), null ids or null lists take no part; a
-null name is a value of its own; repeated rows count once; empty tables give no rows; extra columns are not read.
+null name is a value of its own; repeated rows count once, and of several contents of one id that with the smallest digest; empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -203,11 +203,13 @@ def similar_contents(
     digest = F.struct(F.xxhash64("content").alias("x"), F.xxhash64(F.lit(5), "content").alias("y"))
     written = cut(content, "contents")
     rows_in = written.filter(F.size("content") > least).withColumn("digest", digest)
-    members = rows_in.select("digest.x", "digest.y", "id").distinct()
+    members = rows_in.select("id", "digest.x", "digest.y").groupBy("id").agg(F.min_by("y", "x").alias("y"), F.min("x").alias("x"))
     reps = members.groupBy("x", "y").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    members = cut(members.join(reps, ["x", "y"]).select("rep", "id", "copies"), "members_of")
-    own = members.filter("rep = id").select(F.col("id").alias("rep"))
-    entries = rows_in.join(own, rows_in["id"] == own["rep"]).select("rep", F.size("content").alias("n"), "content").dropDuplicates(["rep"])
+    members = cut(members.join(reps, ["x", "y"]), "members_of")
+    own = members.filter("rep = id").select("x", "y", "rep")
+    told = rows_in.select(F.col("id").alias("rep"), "digest.x", "digest.y", F.size("content").alias("n"), "content")
+    entries = told.join(own, ["rep", "x", "y"]).select("rep", "n", "content").dropDuplicates(["rep"])
+    members = members.select("rep", "id", "copies")
     entries = cut(entries, "entries")
     banded = cut(entries.mapInArrow(_bands(bands, rows, seed), "rep bigint, n int, bands array<bigint>"), "bands")
     keyed = banded.select(F.explode("bands").alias("key"), "rep", "n")

@@ -178,7 +178,7 @@ def nearest(
     entries = cut(entries, "entries")
     n = entries.count()
     share = min(1.0, sample / max(n, 1))
-    picked = entries.filter(F.pmod(F.xxhash64("vec", F.lit(11)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("vec").toArrow()
+    picked = entries.filter(F.pmod(F.xxhash64("vec", F.lit(11)), F.lit(1_000_000_000)) < F.lit(int(share * 1_000_000_000))).select("vec").toArrow()
     x = picked["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
     if not len(x):  # none, or so few that the sample missed them
         x = np.zeros((1, dims))

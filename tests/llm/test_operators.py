@@ -179,6 +179,14 @@ def test_near_duplicates_edges(spark):
     assert pairs == {(0, i) for i in range(1, 40)}
 
 
+def test_one_id_has_one_content(spark):
+    a, b = list(range(20)), list(range(100, 120))
+    links, members = similar(spark, [(1, "x", a), (1, "x", b), (2, "x", a), (3, "x", b)])
+    pairs = {tuple(r)[:2] for r in near_duplicates.expanded_pairs(links, members).collect()}
+    assert pairs in ({(1, 2)}, {(1, 3)})
+    assert members.count() == 3
+
+
 # 6: groups
 
 def brute_groups(pairs, ids):
