@@ -398,3 +398,26 @@ def test_corpus_counts_settle_doubtful_runs():
     assert abuse._ordinary(asked, {("sure",)}, found | {("sure",): 60}, 1000, 0.45) == frozenset()  # as abusive as the sample
     assert abuse._ordinary(asked, set(), found, 1000, 0.45) == frozenset()
     assert abuse._ordinary(asked, {("sure",)}, {}, 0, 0.45) == frozenset()
+
+
+def test_few_or_copied_texts_settle_no_run(spark):
+    """Wordings of labelled abuse stay so in a small corpus, and with copies of one text; runs of many different texts don't."""
+    asked = {("a",): 0.009, ("b",): 0.002, ("sure",): 0.05}
+    assert abuse._ordinary(asked, {("sure",)}, {("a",): 1, ("b",): 1}, 100, 0.45) == frozenset()
+    assert abuse._ordinary(asked, {("sure",)}, {("a",): 1, ("b",): 5}, 100, 0.45) == {("b",)}
+    rows = [(f"You vile toad number {i} go.", "abusive") for i in range(14)] + [(f"The tall lamp of x{i} shines.", "none") for i in range(60)]
+    rows += [("Nobody ever liked your face.", "hateful"), ("The old mill grinds corn.", "hateful"), *[("We all despise you so.", "abusive")]]
+    rows += [(f"We all despise you {w}.", "abusive") for w in ("much", "dearly", "truly", "now")]
+    texts = ["Nobody ever liked your face."] * 40 + [f"The old mill grinds corn in x{i}y." for i in range(40)] + ["We all despise you so."] + [f"Rain fell on {w}{v}." for w in "abcdefgh" for v in "klmnopqr"]
+    windowed = spark.createDataFrame([(list(abuse.windows(t)),) for t in texts], "windows array<string>")
+    got = abuse.ordinary_runs(windowed, rows)
+    assert ("old", "mil", "grinds") in got
+    assert not got & {("nobody", "ever", "liked"), ("we", "al", "despise")}
+    assert abuse.ordinary_runs(windowed.limit(0), rows) == frozenset()
+
+
+def test_runs_of_abusive_texts_alone_are_certain():
+    rows = [(f"We all despise you {i} times.", "abusive") for i in "abcdefg"] + [(f"The tall lamp {i} shines.", "none") for i in "abcdefghijkl"] + [("The tall mill grinds.", "abusive")]
+    asked, certain = abuse.doubtful_runs(rows)
+    assert ("we", "al", "despise") in certain
+    assert ("the", "tal", "mil") in asked and ("the", "tal", "mil") not in certain
