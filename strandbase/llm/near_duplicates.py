@@ -1,7 +1,8 @@
 """Problem 5: records that are nearly the same, by circulant MinHash, banding and exact verification.
 
-A record is a sequence of 64-bit element ids. Its MinHash set holds its adjacent pairs of elements, each with its number
-of occurrence, hashed to positions of a universe of 2^20.
+A record is a sequence of 64-bit element ids. Its MinHash set holds its elements, each with its number of occurrence, hashed
+to positions of a universe of 2^20. Of two records within the edit limit the longer has at least similarity * length elements
+in common with the other, however the edits are spread, so their sets' Jaccard similarity is at least similarity / (2 - similarity).
 
 * Signature: one permutation places the positions (sigma), a second one (pi, a table of 2^20 numbers made from a seed) is
   shifted circularly by i for the i-th coordinate: h_i = min over the set of pi[(sigma(x) - i) mod 2^20]. Two permutations
@@ -10,6 +11,7 @@ of occurrence, hashed to positions of a universe of 2^20.
   gives its pair straight from the aggregate's minimum and maximum; larger ones are joined back; a bucket of more than
   ``hot`` records is joined on (bucket, element of a prefix) instead, which loses nothing: two records whose elements
   overlap as far as the limit asks must share one of their first elements in any fixed order, so only such pairs are formed.
+* A sketch of 256 bits goes with each bucket's row; pairs whose sketches rule the limit out aren't formed. No pair within it is lost by that.
 * Verification: exact multiset Jaccard of the elements (its bound follows from the edit limit), then the exact edit
   distance, vectorised over blocks of pairs.
 
@@ -70,14 +72,11 @@ def occurrence(values: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, starts: np.ndarray, coordinates: int, seed: int) -> np.ndarray:
-    """One row of MinHash coordinates for each record; record i has values[starts[i]:starts[i + 1]], at least two of them."""
+    """One row of MinHash coordinates for each record; record i has values[starts[i]:starts[i + 1]], at least one of them."""
     sizes = np.diff(starts)
     of = np.repeat(np.arange(len(sizes)), sizes)
-    inner = of[1:] == of[:-1]
     with np.errstate(over="ignore"):
-        pairs = _mix(values[:-1].astype(np.uint64) * np.uint64(3) + _mix(values[1:]))[inner]
-    of = of[:-1][inner]
-    sigma = _mix(pairs + np.uint64(7) * occurrence(pairs, of).astype(np.uint64)) >> np.uint64(64 - BITS)
+        sigma = _mix(_mix(values) + np.uint64(7) * occurrence(values, of).astype(np.uint64)) >> np.uint64(64 - BITS)
     pi, at = _pi(seed), sigma.astype(np.int64) + UNIVERSE
     first = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1]
     out = np.empty((coordinates, len(sizes)), np.int32)
@@ -86,6 +85,16 @@ def signatures(values: np.ndarray, starts: np.ndarray, coordinates: int, seed: i
     return out.T
 
 
+def sketches(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """256 bits for each record, one set for each element and number of occurrence. A bit that only one of two records has
+    stands for an element at least that only this record has."""
+    of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    at = _mix(_mix(values.astype(np.uint64) + np.uint64(11)) + occurrence(values, of).astype(np.uint64)) >> np.uint64(56)
+    bits = np.zeros((len(starts) - 1, 256), np.uint8)
+    bits[of, at.astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _bands(bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +109,9 @@ def _bands(bands: int, rows: int, seed: int):
                     key = _mix(key * np.uint64(0x100000001B3) + sig[:, :, r])
                 offsets = pa.array(np.arange(0, (len(lists) + 1) * bands, bands), pa.int32())
                 keys = pa.ListArray.from_arrays(offsets, pa.array(key.astype(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([some.column("rep"), some.column("n"), keys], names=["rep", "n", "bands"])
+                sketch = pa.StructArray.from_arrays([pa.array(x) for x in np.ascontiguousarray(sketches(flat, starts).T)], names=list("stuv"))
+                shape = pa.StructArray.from_arrays([some.column("n"), sketch], names=["n", "sketch"])
+                yield pa.RecordBatch.from_arrays([some.column("rep"), shape, keys], names=["rep", "shape", "bands"])
 
     return run
 
@@ -173,20 +184,26 @@ def _verify(similarity: float):
 
 
 def _bucket_pairs(rows: DataFrame, entries: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """(a, b) of all entries that share a bucket and whose lengths allow the similarity; rows: (key, rep, n)."""
-    buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.min_by("n", "rep").alias("na"), F.max_by("n", "rep").alias("nb"), F.min("rep").alias("a"), F.max("rep").alias("b"))
+    """(a, b) of all entries that share a bucket and whose lengths and sketches allow the similarity; rows: (key, rep, shape)."""
+    buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.min_by("shape", "rep").alias("na"), F.max_by("shape", "rep").alias("nb"), F.min("rep").alias("a"), F.max("rep").alias("b"))
     buckets = cut(buckets.filter("m > 1"), "buckets")
-    fits = lambda x, y: F.least(x, y) >= F.lit(similarity - 1e-9) * F.greatest(x, y)
+
+    def fits(x: Column, y: Column) -> Column:
+        """Sure to hold for a pair within the limit: it has similarity * (longer length) elements in common at least."""
+        common = F.ceil(F.lit(similarity - 1e-9) * F.greatest(x["n"], y["n"]))
+        only = lambda p, q: sum((F.bit_count(p["sketch"][c].bitwiseAND(F.bitwise_not(q["sketch"][c]))) for c in "tuv"), F.bit_count(p["sketch"]["s"].bitwiseAND(F.bitwise_not(q["sketch"]["s"]))))
+        return (F.least(x["n"], y["n"]) >= common) & (only(x, y) <= x["n"] - common) & (only(y, x) <= y["n"] - common)
+
     twos = buckets.filter("m = 2").filter(fits(F.col("na"), F.col("nb"))).select("a", "b")
     members = cut(rows.join(buckets.filter("m > 2").select("key", "m"), "key"), "members")
-    usual = members.filter(F.col("m") <= hot).select("key", "rep", "n")
+    usual = members.filter(F.col("m") <= hot).select("key", "rep", "shape")
     left, right = usual.toDF("key", "a", "na"), usual.toDF("key", "b", "nb")
     more = left.join(right, "key").filter(F.col("a") < F.col("b")).filter(fits(F.col("na"), F.col("nb"))).select("a", "b")
     # Hot buckets: an overlap of at least similarity * n elements means a shared one among the first n - similarity * n + 1
     # in any fixed order; here by a hash, so that no element is favoured.
     prefix = F.slice(F.array_sort(F.transform(F.array_distinct("content"), lambda x: F.xxhash64(x))), 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    crowd = members.filter(F.col("m") > hot).select("key", "rep", "n").join(entries.select("rep", prefix.alias("prefix")), "rep")
-    crowd = crowd.select("key", "rep", "n", F.explode("prefix").alias("element"))
+    crowd = members.filter(F.col("m") > hot).select("key", "rep", "shape").join(entries.select("rep", prefix.alias("prefix")), "rep")
+    crowd = crowd.select("key", "rep", "shape", F.explode("prefix").alias("element"))
     left, right = crowd.toDF("key", "a", "na", "element"), crowd.toDF("key", "b", "nb", "element")
     rest = left.join(right, ["key", "element"]).filter(F.col("a") < F.col("b")).filter(fits(F.col("na"), F.col("nb"))).select("a", "b")
     return twos.union(more).union(rest).distinct()
@@ -211,8 +228,8 @@ def similar_contents(
     entries = told.join(own, ["rep", "x", "y"]).select("rep", "n", "content").dropDuplicates(["rep"])
     members = members.select("rep", "id", "copies")
     entries = cut(entries, "entries")
-    banded = cut(entries.mapInArrow(_bands(bands, rows, seed), "rep bigint, n int, bands array<bigint>"), "bands")
-    keyed = banded.select(F.explode("bands").alias("key"), "rep", "n")
+    banded = cut(entries.mapInArrow(_bands(bands, rows, seed), "rep bigint, shape struct<n int, sketch struct<s bigint, t bigint, u bigint, v bigint>>, bands array<bigint>"), "bands")
+    keyed = banded.select(F.explode("bands").alias("key"), "rep", "shape")
     pairs = cut(_bucket_pairs(keyed, entries, similarity, hot), "pairs")
     release(written, banded)
     by_a, by_b = entries.select(F.col("rep").alias("a"), F.col("content").alias("ca")), entries.select(F.col("rep").alias("b"), F.col("content").alias("cb"))

@@ -126,6 +126,14 @@ def test_signatures_estimate_jaccard():
     assert abs((sig[0] == sig[1]).mean() - 299 / (2 * 399 - 299)) < 0.06
 
 
+def test_sketches_bound_what_only_one_record_has():
+    rng = np.random.default_rng(4)
+    for size in (5, 40, 600):
+        x, y = rng.integers(0, 50, size), rng.integers(0, 80, size)
+        p, q = near_duplicates.sketches(np.r_[x, y], np.array([0, size, 2 * size]))
+        assert sum(int(v).bit_count() for v in (p & ~q).view(np.uint64)) <= sum((Counter(x.tolist()) - Counter(y.tolist())).values())
+
+
 def near_rows(rng, families=25):
     rows, n = [], 0
     for _ in range(families):
@@ -187,6 +195,20 @@ def test_one_id_has_one_content(spark):
     assert members.count() == 3
 
 
+def test_near_duplicates_with_edits_spread_evenly(spark):
+    """Pairs near the limit whose replaced elements stand apart, so that few adjacent pairs of elements stay."""
+    rng, rows = random.Random(11), []
+    for i, size in enumerate([12, 87] * 150):
+        base = [rng.randint(0, 10**6) for _ in range(size)]
+        edits = (size + 1) * 35 // 100
+        other = list(base)
+        for k in range(edits):
+            other[k * size // edits] = 10**7 + rng.randint(0, 10**6)
+        rows += [(2 * i, f"m{i}", base), (2 * i + 1, f"m{i}", other)]
+    got = near_duplicates.expanded_pairs(*similar(spark, rows)).select("id_a", "id_b").collect()
+    assert {tuple(r) for r in got} == {(2 * i, 2 * i + 1) for i in range(300)}
+
+
 # 6: groups
 
 def brute_groups(pairs, ids):
