@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _own_dir: str | None = None
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -86,8 +87,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandbase/{os.getpid()}-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")  # once the table is written, nothing reads its shuffle files again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
     return back
