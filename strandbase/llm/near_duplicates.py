@@ -1,53 +1,65 @@
 """Problem 5: records that are nearly the same, by circulant MinHash, banding and exact verification.
 
 A record is a sequence of 64-bit element ids. Its MinHash set holds its elements, each with its number of occurrence, hashed
-to positions of a universe of 2^20. Of two records within the edit limit the longer has at least similarity * length elements
-in common with the other, however the edits are spread, so their sets' Jaccard similarity is at least similarity / (2 - similarity).
-
-* Signature: one permutation places the positions (sigma), a second one (pi, a table of 2^20 numbers made from a seed) is
-  shifted circularly by i for the i-th coordinate: h_i = min over the set of pi[(sigma(x) - i) mod 2^20]. Two permutations
-  give all coordinates.
-* Banding: ``rows`` consecutive coordinates make a band; records of equal content are one entry before. A bucket of two
-  gives its pair straight from the aggregate's minimum and maximum; larger ones are joined back; a bucket of more than
-  ``hot`` records is joined on (bucket, element of a prefix) instead, which loses nothing: two records whose elements
-  overlap as far as the limit asks must share one of their first elements in any fixed order, so only such pairs are formed.
-* A sketch of 256 bits goes with each bucket's row; pairs whose sketches rule the limit out aren't formed. No pair within it is lost by that.
+to positions of a universe of 2^16. Of two records within the edit limit the longer has at least similarity * length elements
+in common with the other, however the edits are spread, so their sets' Jaccard similarity J is at least
+similarity / (2 - similarity), and ``bands`` bands of ``rows`` find a pair with probability 1 - (1 - J^rows)^bands at least.
+
+* Signature: one permutation places the positions (sigma), a second one (pi, a table of 2^16 numbers made from a seed) is
+  shifted circularly by i for the i-th coordinate: h_i = min over the set of pi[(sigma(x) - i) mod 2^16]. Two permutations
+  give all coordinates, and those of one element are neighbours in the table, so they are read as one piece.
+* Banding: ``rows`` consecutive coordinates make a band; records of equal content are one entry before. Band keys are dealt
+  to parts, and what an input batch has for a part travels as one row of packed arrays, each entry's sketch once. Bands are
+  taken in rounds of a bounded number of parts, so that the files of one round are gone before the next.
+* Buckets: pairs of a bucket are formed where its part is read, and only those are given whose lengths and sketches of 192
+  bits allow the limit; no pair within it is lost by that. A bucket of more than ``hot`` entries gives its entries instead,
+  as do band keys that a sample of entries shows to be frequent, whose rows don't travel at all.
+* Those entries are joined on the rarest elements of each: two records whose elements overlap as far as the limit asks must
+  share one of their first n - similarity * n + 1 elements in any fixed order, so nothing is lost and only such pairs are formed.
 * Verification: exact multiset Jaccard of the elements (its bound follows from the edit limit), then the exact edit
-  distance, vectorised over blocks of pairs.
+  distance, vectorised over blocks of pairs, for long records with whole rows of the table as bits of one number.
 
 Equal records: a class of at most ``expand`` copies is given as all its pairs, a larger one as (smallest id, member); a link
 between two different contents is given for all members likewise. So no link between different contents is lost and
 output stays linear in the copies.
 
 Defined cases: records with fewer than ``least`` elements (the name not counted), null ids or null lists take no part; a
-null name is a value of its own; repeated rows count once, and of several contents of one id that with the smallest digest; empty tables give no rows; extra columns are not read.
+null name is a value of its own; repeated rows count once, and of several contents of one id that with the smallest digest;
+empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandbase.runtime import cut, release, ship
+from strandbase.runtime import cut, empty, ship
 
-BITS = 20
+BITS = 16
 UNIVERSE = 1 << BITS
-MASK = UNIVERSE - 1
+SKETCH = 192
+#: Rows of band keys in a part, and parts of a round.
+PART_ROWS, ROUND_PARTS = 1_000_000, 256
+#: Entries that frequent band keys are looked for in, and the share of them that makes a key frequent.
+SAMPLE, FREQUENT = 20_000, 0.01
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_ENTRY = np.dtype([("rep", "<i8"), ("n", "<i4"), ("sketch", "<u8", SKETCH // 64)])
+_ROW = np.dtype([("key", "<u4"), ("entry", "<u2")])
 
 _tables: dict[int, np.ndarray] = {}
 
 
-def _pi(seed: int) -> np.ndarray:
-    """The second permutation, repeated once so that a shifted look-up needs no wrapping."""
+def _pieces(seed: int, coordinates: range) -> np.ndarray:
+    """Row UNIVERSE - 1 - x holds pi[(x - i) mod UNIVERSE] for each coordinate i: overlapping views of pi, reversed."""
     if seed not in _tables:
-        p = np.random.default_rng(seed).permutation(UNIVERSE).astype(np.int32)
-        _tables[seed] = np.concatenate([p, p])
-    return _tables[seed]
+        back = np.random.default_rng(seed).permutation(UNIVERSE).astype(np.uint16)[::-1]
+        _tables[seed] = np.concatenate([back, back])
+    return np.lib.stride_tricks.sliding_window_view(_tables[seed][coordinates.start :], len(coordinates))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,54 +83,174 @@ def occurrence(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(values: np.ndarray, starts: np.ndarray, coordinates: int, seed: int) -> np.ndarray:
+def signatures(values: np.ndarray, starts: np.ndarray, coordinates: range, seed: int) -> np.ndarray:
     """One row of MinHash coordinates for each record; record i has values[starts[i]:starts[i + 1]], at least one of them."""
     sizes = np.diff(starts)
     of = np.repeat(np.arange(len(sizes)), sizes)
     with np.errstate(over="ignore"):
         sigma = _mix(_mix(values) + np.uint64(7) * occurrence(values, of).astype(np.uint64)) >> np.uint64(64 - BITS)
-    pi, at = _pi(seed), sigma.astype(np.int64) + UNIVERSE
-    first = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1]
-    out = np.empty((coordinates, len(sizes)), np.int32)
-    for i in range(coordinates):
-        out[i] = np.minimum.reduceat(pi.take(at - i), first)
-    return out.T
+    pieces, at = _pieces(seed, coordinates), UNIVERSE - 1 - sigma.astype(np.int64)
+    out = np.empty((len(sizes), len(coordinates)), np.uint16)
+    first = 0
+    while first < len(sizes):  # blocks of records that fit the processor's caches
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + 4000, "right")) - 1)
+        block = pieces[at[starts[first] : starts[last]]]
+        out[first:last] = np.minimum.reduceat(block, starts[first:last] - starts[first], axis=0)
+        first = last
+    return out
 
 
 def sketches(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """256 bits for each record, one set for each element and number of occurrence. A bit that only one of two records has
+    """192 bits for each record, one set for each element and number of occurrence. A bit that only one of two records has
     stands for an element at least that only this record has."""
     of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    at = _mix(_mix(values.astype(np.uint64) + np.uint64(11)) + occurrence(values, of).astype(np.uint64)) >> np.uint64(56)
-    bits = np.zeros((len(starts) - 1, 256), np.uint8)
+    with np.errstate(over="ignore"):
+        at = _mix(_mix(values.astype(np.uint64) + np.uint64(11)) + occurrence(values, of).astype(np.uint64)) % np.uint64(SKETCH)
+    bits = np.zeros((len(starts) - 1, SKETCH), np.uint8)
     bits[of, at.astype(np.int64)] = 1
-    return np.packbits(bits, axis=1).view(np.int64)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def band_keys(values: np.ndarray, starts: np.ndarray, bands: range, rows: int, seed: int) -> np.ndarray:
+    """A 64-bit key for each record and band."""
+    sig = signatures(values, starts, range(bands.start * rows, bands.stop * rows), seed).reshape(-1, len(bands), rows)
+    key = np.broadcast_to(np.arange(bands.start, bands.stop, dtype=np.uint64), sig.shape[:2])
+    with np.errstate(over="ignore"):
+        for r in range(rows):
+            key = _mix(key * np.uint64(0x100000001B3) + sig[:, :, r].astype(np.uint64))
+    return key
+
+
+def _lists(batch: pa.RecordBatch, most: int = 2000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with the elements of their contents and where each content begins."""
+    for at in range(0, batch.num_rows, most):
+        some = batch.slice(at, most)
+        lists = some.column("content")
+        yield some, lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
+
+
+def _sampled_keys(bands: int, rows: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, flat, starts in _lists(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(flat, starts, range(bands), rows, seed).view(np.int64).ravel())], names=["key"])
+
+    return run
+
 
+def _dealt(bands: range, rows: int, seed: int, parts: int, frequent: np.ndarray):
+    """Rows (part, entries, rows): what a slice of entries has for a part. Entries with a frequent key come with no rows."""
 
-def _bands(bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                some = batch.slice(start, 2000)
-                lists = some.column("content")
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                starts = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
-                sig = signatures(flat, starts, bands * rows, seed).astype(np.uint64).reshape(len(lists), bands, rows)
-                key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(lists), bands))
-                for r in range(rows):
-                    key = _mix(key * np.uint64(0x100000001B3) + sig[:, :, r])
-                offsets = pa.array(np.arange(0, (len(lists) + 1) * bands, bands), pa.int32())
-                keys = pa.ListArray.from_arrays(offsets, pa.array(key.astype(np.int64).ravel()))
-                sketch = pa.StructArray.from_arrays([pa.array(x) for x in np.ascontiguousarray(sketches(flat, starts).T)], names=list("stuv"))
-                shape = pa.StructArray.from_arrays([some.column("n"), sketch], names=["n", "sketch"])
-                yield pa.RecordBatch.from_arrays([some.column("rep"), shape, keys], names=["rep", "shape", "bands"])
+            for some, flat, starts in _lists(batch, 10_000):
+                told = np.empty(some.num_rows, _ENTRY)
+                told["rep"], told["n"], told["sketch"] = some.column("rep").to_numpy(), np.diff(starts), sketches(flat, starts)
+                keys = band_keys(flat, starts, bands, rows, seed)
+                crowded = np.isin(keys, frequent)
+                of, band = np.nonzero(~crowded)
+                key = keys[of, band]
+                part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                out: dict[str, list] = {"part": [], "entries": [], "rows": []}
+                edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(order) else np.zeros(1, int)
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    pick = order[a:b]
+                    used, entry = np.unique(of[pick], return_inverse=True)
+                    packed = np.empty(len(pick), _ROW)
+                    packed["key"], packed["entry"] = key[pick] & np.uint64(0xFFFFFFFF), entry
+                    out["part"].append(part[pick[0]])
+                    out["entries"].append(told[used].tobytes())
+                    out["rows"].append(packed.tobytes())
+                if crowded.any():
+                    crowd = told[crowded.any(1)]
+                    for i in range(parts):
+                        if len(mine := crowd[crowd["rep"] % parts == i]):
+                            out["part"].append(i)
+                            out["entries"].append(mine.tobytes())
+                            out["rows"].append(b"")
+                yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), pa.array(out["entries"], pa.binary()), pa.array(out["rows"], pa.binary())], names=list(out))
+
+    return run
+
+
+def fits(entries: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lengths and sketches of entries x and y allow the limit; sure to hold for a pair within it."""
+    n = entries["n"]
+    common = np.ceil((similarity - 1e-9) * np.maximum(n[x], n[y])).astype(np.int64)
+    ok = np.flatnonzero(np.minimum(n[x], n[y]) >= common)
+    for p, q in ((x, y), (y, x)):
+        only = np.bitwise_count(entries["sketch"][p[ok]] & ~entries["sketch"][q[ok]]).sum(1, dtype=np.int64)
+        ok = ok[only <= n[p[ok]] - common[ok]]
+    return ok
+
+
+def bucket_pairs(entries: np.ndarray, key: np.ndarray, of: np.ndarray, similarity: float, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of entries that share a key and may be within the limit; the entries of keys that more than ``hot`` have."""
+    order = np.argsort(key, kind="stable")
+    key, of = key[order], of[order]
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    size = np.diff(edge)
+    end = np.repeat(edge[1:], size)
+    crowd = np.unique(of[np.repeat(size > hot, size)])
+    at = np.flatnonzero(np.repeat((size > 1) & (size <= hot), size))
+    found, step = [np.zeros((0, 2), np.int64)], 1
+    while len(at := at[end[at] > at + step]):  # neighbours at a growing distance, as long as a bucket reaches
+        for block in np.array_split(at, -(-len(at) // 200_000)):
+            x, y = of[block], of[block + step]
+            ok = fits(entries, x, y, similarity)
+            a, b = entries["rep"][x[ok]], entries["rep"][y[ok]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        step += 1
+    pairs = np.concatenate(found)
+    return np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0), crowd
+
+
+def _met(similarity: float, hot: int):
+    """(a, b) of each part; b is null where a belongs to a bucket too large to be paired here."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held = [np.frombuffer(x, _ENTRY) for x in table["entries"].to_pylist()]
+        rows = [np.frombuffer(x, _ROW) for x in table["rows"].to_pylist()]
+        first = np.r_[0, np.cumsum([len(x) for x in held])[:-1]]
+        entries, packed = np.concatenate(held), np.concatenate(rows)
+        of = packed["entry"].astype(np.int64) + np.repeat(first, [len(x) for x in rows])
+        pairs, crowd = bucket_pairs(entries, packed["key"], of, similarity, hot)
+        alone = np.unique(np.concatenate([entries["rep"][crowd], *(e["rep"] for e, r in zip(held, rows, strict=True) if not len(r))]))
+        b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(alone), pa.int64())])
+        return pa.table([pa.array(np.r_[pairs[:, 0], alone]), b], names=["a", "b"])
 
     return run
 
 
-def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Levenshtein distances of many pairs of sequences, row by row of the table for all pairs at once."""
+def _long_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Levenshtein distance with a row of the table as the bits of two numbers: where it rises and where it falls."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        places[x] = places.get(x, 0) | 1 << i
+    full, top, at = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    rises, falls = full, 0
+    for x in b.tolist():
+        same = places.get(x, 0)
+        flat = (((same & rises) + rises) ^ rises) | same | falls
+        up, down = falls | (full & ~(flat | rises)), rises & flat
+        at += bool(up & top) - bool(down & top)
+        up = (up << 1 | 1) & full
+        rises, falls = (down << 1 & full) | (full & ~((same | falls) | up)), up & (same | falls)
+    return at
+
+
+def edit_distances(a: list[np.ndarray], b: list[np.ndarray], long: int = 400) -> np.ndarray:
+    """Levenshtein distances of many pairs of sequences, row by row of the table for all pairs at once; pairs longer than
+    ``long`` one by one."""
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    if (apart := (np.minimum(la, lb) > 0) & (np.maximum(la, lb) > long)).any():
+        out = np.empty(len(a), np.int64)
+        out[apart] = [_long_distance(a[i], b[i]) for i in np.flatnonzero(apart)]
+        if not apart.all():
+            rest = np.flatnonzero(~apart)
+            out[rest] = edit_distances([a[i] for i in rest], [b[i] for i in rest], long)
+        return out
     n, ma, mb = len(a), int(la.max()), int(lb.max())
     pa_, pb = np.zeros((n, ma), np.int64), np.ones((n, mb), np.int64)
     for i in range(n):
@@ -183,34 +315,42 @@ def _verify(similarity: float):
     return run
 
 
-def _bucket_pairs(rows: DataFrame, entries: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """(a, b) of all entries that share a bucket and whose lengths and sketches allow the similarity; rows: (key, rep, shape)."""
-    buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.min_by("shape", "rep").alias("na"), F.max_by("shape", "rep").alias("nb"), F.min("rep").alias("a"), F.max("rep").alias("b"))
-    buckets = cut(buckets.filter("m > 1"), "buckets")
-
-    def fits(x: Column, y: Column) -> Column:
-        """Sure to hold for a pair within the limit: it has similarity * (longer length) elements in common at least."""
-        common = F.ceil(F.lit(similarity - 1e-9) * F.greatest(x["n"], y["n"]))
-        only = lambda p, q: sum((F.bit_count(p["sketch"][c].bitwiseAND(F.bitwise_not(q["sketch"][c]))) for c in "tuv"), F.bit_count(p["sketch"]["s"].bitwiseAND(F.bitwise_not(q["sketch"]["s"]))))
-        return (F.least(x["n"], y["n"]) >= common) & (only(x, y) <= x["n"] - common) & (only(y, x) <= y["n"] - common)
-
-    twos = buckets.filter("m = 2").filter(fits(F.col("na"), F.col("nb"))).select("a", "b")
-    members = cut(rows.join(buckets.filter("m > 2").select("key", "m"), "key"), "members")
-    usual = members.filter(F.col("m") <= hot).select("key", "rep", "shape")
-    left, right = usual.toDF("key", "a", "na"), usual.toDF("key", "b", "nb")
-    more = left.join(right, "key").filter(F.col("a") < F.col("b")).filter(fits(F.col("na"), F.col("nb"))).select("a", "b")
-    # Hot buckets: an overlap of at least similarity * n elements means a shared one among the first n - similarity * n + 1
-    # in any fixed order; here by a hash, so that no element is favoured.
-    prefix = F.slice(F.array_sort(F.transform(F.array_distinct("content"), lambda x: F.xxhash64(x))), 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    crowd = members.filter(F.col("m") > hot).select("key", "rep", "shape").join(entries.select("rep", prefix.alias("prefix")), "rep")
-    crowd = crowd.select("key", "rep", "shape", F.explode("prefix").alias("element"))
-    left, right = crowd.toDF("key", "a", "na", "element"), crowd.toDF("key", "b", "nb", "element")
-    rest = left.join(right, ["key", "element"]).filter(F.col("a") < F.col("b")).filter(fits(F.col("na"), F.col("nb"))).select("a", "b")
-    return twos.union(more).union(rest).distinct()
+def _crowd_pairs(reps: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all entries among ``reps`` that may be within the limit: they share one of the rarest elements of each."""
+    told = cut(entries.join(reps, "rep").select("rep", "n", F.array_distinct("content").alias("elements")), "crowd")
+    single = told.select("rep", "n", F.explode("elements").alias("element"))
+    often = single.groupBy("element").agg(F.count("*").alias("often"))
+    ordered = F.array_sort(F.collect_list(F.struct("often", "element")))
+    prefix = F.slice(ordered, 1, (F.first("n") - F.ceil(F.first("n") * similarity - 1e-9) + 1).cast("int"))
+    rare = single.join(often, "element").groupBy("rep").agg(F.first("n").alias("n"), prefix.alias("rare"))
+    rows = cut(rare.select("rep", "n", F.explode(F.col("rare.element")).alias("element")), "rare")
+    left, right = rows.toDF("a", "na", "element"), rows.toDF("b", "nb", "element")
+    near = F.least("na", "nb") >= F.ceil(F.lit(similarity - 1e-9) * F.greatest("na", "nb"))
+    return left.join(right, "element").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+
+
+def _candidates(entries: DataFrame, similarity: float, bands: int, rows: int, hot: int, seed: int) -> DataFrame:
+    """Distinct (a, b), a < b, of entries that share a band and may be within the limit."""
+    n = entries.count()
+    picked = entries.filter(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE / max(n, 1))))) if n > SAMPLE else entries
+    keys = picked.select("content").mapInArrow(_sampled_keys(bands, rows, seed), "key bigint").groupBy("key").count()
+    # No more than 1 / FREQUENT keys of a band can reach that share.
+    frequent = np.array([r["key"] for r in keys.filter(F.col("count") > max(hot, FREQUENT * min(n, SAMPLE))).collect()], np.int64).view(np.uint64)
+    parts = max(2 * entries.sparkSession.sparkContext.defaultParallelism, -(-n * bands // PART_ROWS))
+    rounds = min(bands, -(-parts // ROUND_PARTS))
+    met = []
+    for i in range(rounds):
+        own = range(i * bands // rounds, (i + 1) * bands // rounds)
+        dealt = entries.mapInArrow(_dealt(own, rows, seed, -(-parts // rounds), frequent), "part int, entries binary, rows binary")
+        met.append(cut(dealt.groupBy("part").applyInArrow(_met(similarity, hot), "a bigint, b bigint"), "met"))
+    every = reduce(DataFrame.union, met).distinct()
+    crowd = every.filter("b is null").select(F.col("a").alias("rep"))
+    pairs = every.filter("b is not null")
+    return pairs if empty(crowd) else pairs.union(_crowd_pairs(crowd, entries, similarity)).distinct()
 
 
 def similar_contents(
-    df: DataFrame, id_col: str, name: Column, elements: Column, least: int = 12, similarity: float = 0.65, bands: int = 60, rows: int = 3, hot: int = 64, seed: int = 17
+    df: DataFrame, id_col: str, name: Column, elements: Column, least: int = 12, similarity: float = 0.65, bands: int = 120, rows: int = 4, hot: int = 1024, seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity) between the smallest ids of different contents, and the members (rep, id, copies)."""
     ship(df.sparkSession)
@@ -218,23 +358,17 @@ def similar_contents(
     # Written before it is filtered: a filter on the elements' number would have them made twice.
     content = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.concat(F.array(head), elements).alias("content"))
     digest = F.struct(F.xxhash64("content").alias("x"), F.xxhash64(F.lit(5), "content").alias("y"))
-    written = cut(content, "contents")
-    rows_in = written.filter(F.size("content") > least).withColumn("digest", digest)
-    members = rows_in.select("id", "digest.x", "digest.y").groupBy("id").agg(F.min_by("y", "x").alias("y"), F.min("x").alias("x"))
-    reps = members.groupBy("x", "y").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    members = cut(members.join(reps, ["x", "y"]), "members_of")
-    own = members.filter("rep = id").select("x", "y", "rep")
-    told = rows_in.select(F.col("id").alias("rep"), "digest.x", "digest.y", F.size("content").alias("n"), "content")
-    entries = told.join(own, ["rep", "x", "y"]).select("rep", "n", "content").dropDuplicates(["rep"])
-    members = members.select("rep", "id", "copies")
-    entries = cut(entries, "entries")
-    banded = cut(entries.mapInArrow(_bands(bands, rows, seed), "rep bigint, shape struct<n int, sketch struct<s bigint, t bigint, u bigint, v bigint>>, bands array<bigint>"), "bands")
-    keyed = banded.select(F.explode("bands").alias("key"), "rep", "shape")
-    pairs = cut(_bucket_pairs(keyed, entries, similarity, hot), "pairs")
-    release(written, banded)
+    written = cut(content.select("id", "content", digest.alias("digest"), F.size("content").alias("n")), "contents").filter(F.col("n") > least)
+    chosen = written.groupBy("id").agg(F.min("digest").alias("digest"))
+    classes = cut(chosen.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    members = cut(chosen.join(classes, "digest").select("rep", "id", "copies"), "members_of")
+    own = classes.select(F.col("rep").alias("id"), "digest")
+    entries = cut(written.join(own, ["id", "digest"]).dropDuplicates(["id", "digest"]).select(F.col("id").alias("rep"), "n", "content"), "entries")
+    pairs = cut(_candidates(entries, similarity, bands, rows, hot, seed), "pairs")
     by_a, by_b = entries.select(F.col("rep").alias("a"), F.col("content").alias("ca")), entries.select(F.col("rep").alias("b"), F.col("content").alias("cb"))
     full = pairs.join(by_a, "a").join(by_b, "b").select("a", "b", "ca", "cb")
-    return full.mapInArrow(_verify(similarity), "a bigint, b bigint, similarity double"), members
+    links = cut(full.mapInArrow(_verify(similarity), "a bigint, b bigint, similarity double"), "links")
+    return links, members
 
 
 def expanded_pairs(links: DataFrame, members: DataFrame, expand: int = 32) -> DataFrame:
