@@ -315,18 +315,31 @@ def _verify(similarity: float):
     return run
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for some, flat, starts in _lists(batch):
+            bits = np.ascontiguousarray(sketches(flat, starts).view(np.int64).T)
+            sketch = pa.StructArray.from_arrays([pa.array(x) for x in bits], names=list("stu"))
+            yield pa.RecordBatch.from_arrays([some.column("rep"), pa.array(np.diff(starts), pa.int32()), sketch, some.column("content")], names=["rep", "n", "sketch", "content"])
+
+
 def _crowd_pairs(reps: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of all entries among ``reps`` that may be within the limit: they share one of the rarest elements of each."""
-    told = cut(entries.join(reps, "rep").select("rep", "n", F.array_distinct("content").alias("elements")), "crowd")
-    single = told.select("rep", "n", F.explode("elements").alias("element"))
+    made = entries.join(reps, "rep").select("rep", "content").mapInArrow(_sketched, "rep bigint, n int, sketch struct<s bigint, t bigint, u bigint>, content array<bigint>")
+    told = cut(made, "crowd")
+    single = told.select("rep", "n", F.explode(F.array_distinct("content")).alias("element"))
     often = single.groupBy("element").agg(F.count("*").alias("often"))
     ordered = F.array_sort(F.collect_list(F.struct("often", "element")))
     prefix = F.slice(ordered, 1, (F.first("n") - F.ceil(F.first("n") * similarity - 1e-9) + 1).cast("int"))
-    rare = single.join(often, "element").groupBy("rep").agg(F.first("n").alias("n"), prefix.alias("rare"))
-    rows = cut(rare.select("rep", "n", F.explode(F.col("rare.element")).alias("element")), "rare")
-    left, right = rows.toDF("a", "na", "element"), rows.toDF("b", "nb", "element")
-    near = F.least("na", "nb") >= F.ceil(F.lit(similarity - 1e-9) * F.greatest("na", "nb"))
-    return left.join(right, "element").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    rare = single.join(often, "element").groupBy("rep").agg(prefix.alias("rare"))
+    shape = told.select("rep", F.struct("n", "sketch").alias("shape"))
+    rows = cut(rare.join(shape, "rep").select("rep", "shape", F.explode(F.col("rare.element")).alias("element")), "rare")
+    left, right = rows.toDF("a", "x", "element"), rows.toDF("b", "y", "element")
+    x, y = F.col("x"), F.col("y")
+    common = F.ceil(F.lit(similarity - 1e-9) * F.greatest(x["n"], y["n"]))
+    only = lambda p, q: reduce(Column.__add__, (F.bit_count(p["sketch"][c].bitwiseAND(F.bitwise_not(q["sketch"][c]))) for c in "stu"))
+    may = (F.least(x["n"], y["n"]) >= common) & (only(x, y) <= x["n"] - common) & (only(y, x) <= y["n"] - common)
+    return left.join(right, "element").filter((F.col("a") < F.col("b")) & may).select("a", "b")
 
 
 def _candidates(entries: DataFrame, similarity: float, bands: int, rows: int, hot: int, seed: int) -> DataFrame:
@@ -350,7 +363,7 @@ def _candidates(entries: DataFrame, similarity: float, bands: int, rows: int, ho
 
 
 def similar_contents(
-    df: DataFrame, id_col: str, name: Column, elements: Column, least: int = 12, similarity: float = 0.65, bands: int = 120, rows: int = 4, hot: int = 1024, seed: int = 17
+    df: DataFrame, id_col: str, name: Column, elements: Column, least: int = 12, similarity: float = 0.65, bands: int = 120, rows: int = 4, hot: int = 4096, seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity) between the smallest ids of different contents, and the members (rep, id, copies)."""
     ship(df.sparkSession)
