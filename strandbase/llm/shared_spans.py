@@ -7,13 +7,13 @@ belong to one shard, so each stretch has to meet one automaton only and the work
 
 1. Stretches are made by one vectorised pass. Minimizers that only one record has are dropped: nothing of theirs can occur
    elsewhere. Equal stretches are one entry with its smallest and largest owner.
-2. Entries with two owners are shared as a whole. A minimizer with a single distinct entry needs no automaton.
-3. Every other shard builds the suffix automaton of its distinct entries, each state with the smallest and the largest
-   owner of what it stands for, and streams its one-owner entries for matching statistics: a window is shared where the
-   state of its last ``least`` elements has another owner.
-4. A minimizer with more than ``shard_tokens`` elements is cut into reference sub-shards; each of its stretches is
-   streamed through all of them, so hot minimizers take more tasks, not larger ones.
-5. Windows are put back into their records and joined into the longest stretches.
+2. Every shard builds the suffix automaton of its distinct entries, each state with the smallest and the largest owner of what
+   it stands for, and streams its entries for matching statistics: a window is shared where the state of its last ``least``
+   elements has another owner. All spans come from there.
+3. A minimizer with more than ``shard_tokens`` elements is cut finer: its stretches are cut again by the smallest hash of runs
+   twice as long, so that equal windows still meet, and in the end by the windows themselves, of which a shard holds one. No
+   stretch is copied to several shards, and no task holds more than a shard, however frequent a minimizer is.
+4. Windows are put back into their records and joined into the longest stretches.
 
 Elements and stretches are compared by 64-bit hashes (equal up to a chance of 2^-64).
 
@@ -45,21 +45,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return (x * _MULTIPLY) ^ (x >> np.uint64(31))
 
 
-def stretches(values: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(record, start, length, minimizer) of the stretches of records values[starts[i]:starts[i + 1]]."""
+def stretches(values: np.ndarray, starts: np.ndarray, least: int, length: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(record, start, length, minimizer) of the stretches of records values[starts[i]:starts[i + 1]], by runs of ``length``."""
     n = len(values)
     if n < least:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     x = _mix(values.astype(np.uint64))
-    run = np.zeros(n - RUN + 1, np.uint64)
+    run = np.zeros(n - length + 1, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(RUN):
-            run = run * _MULTIPLY + x[i : n - RUN + 1 + i]
+        for i in range(length):
+            run = run * _MULTIPLY + x[i : n - length + 1 + i]
     run = _mix(run)
     windows = n - least + 1
     low = run[:windows].copy()
-    for i in range(1, least - RUN + 1):
+    for i in range(1, least - length + 1):
         np.minimum(low, run[i : i + windows], out=low)
     inside = of[:windows] == of[least - 1 :]
     change = np.r_[True, (low[1:] != low[:-1]) | (of[1:windows] != of[: windows - 1])]
@@ -71,29 +71,30 @@ def stretches(values: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.nd
     return of[first], first - starts[of[first]], count + least - 1, low[first]
 
 
-def _cut_up(least: int):
-    names = ["key", "h", "id", "start", "n", "content"]
+def _cut_up(least: int, length: int, keep: list[str]):
+    """Rows (key, h, *keep, start, n, content): the stretches of every content. A finer cut keeps the old key apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
-                lists, ids = some.column("e"), some.column("id").to_numpy()
+                lists = some.column("content")
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 starts = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
-                rec, start, n, low = stretches(flat, starts, least)
+                rec, start, n, low = stretches(flat, starts, least, length)
                 if not len(rec):
                     continue
+                if "of_key" in keep:
+                    low = _mix(low + some.column("of_key").to_numpy()[rec].view(np.uint64) * _MULTIPLY)
                 edges = np.r_[0, np.cumsum(n)]
                 where = np.arange(edges[-1]) - np.repeat(edges[:-1] - (starts[rec] + start), n)
                 content = flat[where]
                 place = (np.arange(edges[-1]) - np.repeat(edges[:-1], n)).astype(np.uint64)
                 with np.errstate(over="ignore"):
                     h = _mix(np.add.reduceat(_mix(_mix(content.astype(np.uint64)) + place * _MULTIPLY), edges[:-1]) + n.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(low.view(np.int64)), pa.array(h.view(np.int64)), pa.array(ids[rec]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(content))],
-                    names=names,
-                )
+                made = {"key": pa.array(low.view(np.int64)), "h": pa.array(h.view(np.int64))} | {c: pa.array(some.column(c).to_numpy()[rec]) for c in keep}
+                made |= {"start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()), "content": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(content))}
+                yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
     return run
 
@@ -188,45 +189,47 @@ def _matched(least: int):
         lists = table["content"].combine_chunks()
         flat = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1].tolist()
         edges = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))].tolist()
-        rows = list(zip(*(table[c].to_pylist() for c in ("key", "h", "lo", "hi", "refers", "asks")), strict=True))
-        for i, (_, _, lo, hi, refers, _) in enumerate(rows):
-            if refers:
-                automaton.add(flat[edges[i] : edges[i + 1]], lo, hi)
+        rows = list(zip(*(table[c].to_pylist() for c in ("key", "h", "lo", "hi")), strict=True))
+        for i, (_, _, lo, hi) in enumerate(rows):
+            automaton.add(flat[edges[i] : edges[i + 1]], lo, hi)
         automaton.finish()
-        for i, (key, h, lo, _, _, asks) in enumerate(rows):
-            if asks:
-                made += [(key, h, a, b) for a, b in automaton.shared(flat[edges[i] : edges[i + 1]], lo, least)]
+        for i, (key, h, lo, _) in enumerate(rows):
+            made += [(key, h, a, b) for a, b in automaton.shared(flat[edges[i] : edges[i + 1]], lo, least)]
         return pa.table(list(zip(*made, strict=True)) if made else [[]] * 4, schema=out)
 
     return run
 
 
+def _matches(pieces: DataFrame, least: int, shard_tokens: int, runs: tuple[int, ...]) -> DataFrame:
+    """(key, h, a, b): the shared spans of the distinct pieces (key, h, lo, hi, n, content), ``lo`` to ``hi`` being their owners."""
+    entries = cut(pieces.groupBy("key", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n")), "stretch_entries")
+    group = entries.groupBy("key").agg(F.min("lo").alias("g_lo"), F.max("hi").alias("g_hi"), F.sum("n").alias("tokens"))
+    group = cut(group.filter("g_lo < g_hi").select("key", "tokens"), "stretch_groups")
+    hot = F.col("tokens") > shard_tokens if runs else F.lit(False)
+    told = group.agg(F.sum(F.when(~hot, F.col("tokens"))).alias("total"), F.max(hot).alias("hot")).first()
+    shards = max(1, -(-(told["total"] or 0) // shard_tokens))
+    # Contents are fetched once for each entry that another record may share: from a piece of its smallest owner.
+    wanted = entries.join(group, "key").select("key", "h", "lo", "hi", hot.alias("hot"))
+    one = pieces.select("key", "h", "lo", "content").join(wanted, ["key", "h", "lo"]).dropDuplicates(["key", "h", "lo"])
+    one = cut(one, "stretch_contents") if told["hot"] else one
+    found = one.filter(~F.col("hot")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(_matched(least), "key bigint, h bigint, a int, b int")
+    if not told["hot"]:
+        return found
+    finer = one.filter("hot").select(F.col("key").alias("of_key"), F.col("h").alias("of_h"), "lo", "hi", "content")
+    keep = ["of_key", "of_h", "lo", "hi"]
+    finer = cut(finer.mapInArrow(_cut_up(least, runs[0], keep), "key bigint, h bigint, of_key bigint, of_h bigint, lo bigint, hi bigint, start int, n int, content array<bigint>"), "stretches")
+    inner = finer.select("key", "h", "of_key", "of_h", "start").join(_matches(finer, least, shard_tokens, runs[1:]), ["key", "h"])
+    return found.union(inner.select("of_key", "of_h", F.col("start") + F.col("a"), F.col("start") + F.col("b")))
+
+
 def shared_spans(df: DataFrame, id_col: str, elements: Column, least: int = 16, shard_tokens: int = 50_000) -> DataFrame:
     """(id, from_pos, to_pos): the longest stretches of consecutive shared positions of every record."""
     ship(df.sparkSession)
     # Records that are too short yield nothing in the pass itself; a filter on their size would have the elements made twice.
-    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), elements.alias("e"))
-    pieces = cut(rows.mapInArrow(_cut_up(least), "key bigint, h bigint, id bigint, start int, n int, content array<bigint>"), "stretches")
-    entries = pieces.groupBy("key", "h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("n").alias("n"))
-    entries = cut(entries, "stretch_entries")
-    group = entries.groupBy("key").agg(F.min("lo").alias("g_lo"), F.max("hi").alias("g_hi"), F.count("*").alias("kinds"), F.sum("n").alias("tokens"))
-    group = cut(group.filter("g_lo < g_hi").select("key", "kinds", "tokens"), "stretch_groups")
-    whole = entries.filter("lo < hi").select("key", "h", F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))
-    several = group.filter("kinds > 1")
-    total = several.agg(F.sum("tokens").alias("t")).first()["t"] or 0
-    shards = max(1, -(-total // shard_tokens))
-    # Contents are fetched once for each entry that needs an automaton: from its smallest owner's first stretch.
-    wanted = entries.join(several, "key").select("key", "h", "lo", "hi", "tokens")
-    one = pieces.select("key", "h", F.col("id").alias("lo"), "content").join(wanted, ["key", "h", "lo"]).dropDuplicates(["key", "h"])
-    cuts_of = F.ceil(F.col("tokens") / shard_tokens).cast("int")
-    one = one.withColumn("asks", F.col("lo") == F.col("hi")).withColumn("cuts", cuts_of)
-    usual = one.filter("cuts = 1").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.lit(0).alias("part"), "key", "h", "lo", "hi", F.lit(True).alias("refers"), "asks", "content")
-    mine = F.pmod(F.xxhash64("h"), F.col("cuts")).cast("int")
-    hot = one.filter("cuts > 1").withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(mine))))
-    hot = hot.select(F.col("key").alias("shard"), "part", "key", "h", "lo", "hi", (F.col("part") == mine).alias("refers"), "asks", "content")
-    parts = usual.withColumn("part", F.lit(-1)).unionByName(hot)
-    found = parts.groupBy("shard", "part").applyInArrow(_matched(least), "key bigint, h bigint, a int, b int")
-    marked = whole.unionByName(found)
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), elements.alias("content"))
+    pieces = cut(rows.mapInArrow(_cut_up(least, RUN, ["id"]), "key bigint, h bigint, id bigint, start int, n int, content array<bigint>"), "stretches")
+    runs = tuple(x for x in (RUN * 2**i for i in range(1, 32)) if x < least) + (least,)
+    marked = _matches(pieces.select("key", "h", F.col("id").alias("lo"), F.col("id").alias("hi"), "n", "content"), least, shard_tokens, runs)
     placed = pieces.select("key", "h", "id", "start").join(marked, ["key", "h"]).select("id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     placed = placed.distinct()  # a record delivered over and over is one record before it is sorted
     order = Window.partitionBy("id").orderBy("a", "b")

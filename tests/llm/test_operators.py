@@ -267,7 +267,7 @@ def brute_spans(rows, least):
 
 @pytest.mark.parametrize("shard_tokens", [50_000, 60])
 def test_shared_spans(spark, shard_tokens):
-    """60 tokens a shard cuts most minimizers into sub-shards."""
+    """60 tokens a shard has many minimizers cut finer."""
     rng = random.Random(8)
     pool = [[rng.randint(0, 30) for _ in range(60)] for _ in range(6)]
     rows = []
@@ -293,6 +293,31 @@ def test_shared_spans_edges(spark):
     assert sorted(map(tuple, shared_spans.shared_spans(long, "id", F.col("e")).collect())) == [(1, 5, 18_999), (2, 0, 18_994)]
 
 
+def test_shared_spans_come_from_the_automata(spark, monkeypatch):
+    df = spark.createDataFrame([(i, list(range(40))) for i in range(3)], "id bigint, e array<bigint>")
+    assert shared_spans.shared_spans(df, "id", F.col("e")).count() == 3
+    monkeypatch.setattr(shared_spans, "_matched", lambda least: lambda t: t.select(["key", "h"]).append_column("a", t["key"].cast("int32", safe=False)).append_column("b", t["key"].cast("int32", safe=False)).slice(0, 0))
+    assert shared_spans.shared_spans(df, "id", F.col("e")).count() == 0
+
+
+def test_a_frequent_minimizer_is_cut_finer(spark):
+    """All stretches have one minimizer, far beyond a shard, and few of their windows are shared."""
+    rng = random.Random(12)
+    run = [1, 2, 3, 4]
+    while True:  # a run that is the minimizer of whatever surrounds it
+        v = np.array([rng.randint(0, 10**9) for _ in range(12)] + run + [rng.randint(0, 10**9) for _ in range(12)])
+        if len(shared_spans.stretches(v, np.array([0, 28]), 16)[0]) == 1:
+            break
+        run = [rng.randint(0, 10**9) for _ in range(4)]
+    rows = []
+    for i in range(150):
+        a, b = ([rng.randint(0, 10**9) for _ in range(12)] for _ in range(2))
+        rows.append((i, a + run + b))
+    rows += [(1000 + i, [7] * i + rows[i][1][i % 5 : 28 - i % 7]) for i in range(0, 150, 5)]
+    got = shared_spans.shared_spans(spark.createDataFrame(rows, "id bigint, e array<bigint>"), "id", F.col("e"), 16, 400)
+    assert {tuple(r) for r in got.collect()} == brute_spans(rows, 16)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=14), min_size=2, max_size=5), st.integers(1, 4))
 def test_automaton(sequences, least):
