@@ -22,10 +22,12 @@ values are compared in double precision (exact for sums below 2^53).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ from strandbase.runtime import cut, ship
 MIN_PER_CENTROID = 8
 BLOCK = 2048
 ROUTE_ROWS = 4000
+_FOUND = pa.schema([("gid", pa.int64()), ("best", pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))])
 
 
 def _split(x: np.ndarray, rng: np.random.Generator, ways: int) -> np.ndarray:
@@ -69,47 +72,74 @@ def balanced_centroids(x: np.ndarray, most: int, seed: int = 5) -> np.ndarray:
 class CentroidGraph:
     """Best-first search over a neighbour graph of the centroids."""
 
-    def __init__(self, centres: np.ndarray, degree: int = 16, entries: int = 48):
+    def __init__(self, centres: np.ndarray, degree: int = 16, entries: int = 128):
         self.c = centres
         n = len(centres)
         degree = min(degree, n)
         self.near = np.empty((n, degree), np.int64)
-        norm = (centres * centres).sum(1)
+        self.norm = (centres * centres).sum(1)
         for i in range(0, n, 512):
-            d = norm[None, :] - 2 * centres[i : i + 512] @ centres.T
+            d = self.norm[None, :] - 2 * centres[i : i + 512] @ centres.T
             self.near[i : i + 512] = np.argpartition(d, degree - 1, axis=1)[:, :degree]
         self.entry = np.unique(np.linspace(0, n - 1, min(entries, n)).astype(np.int64))
 
-    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and squared distances of the nearest centroids found for each row, nearest first (inf where fewer)."""
-        ids = np.broadcast_to(self.entry, (len(x), len(self.entry)))
-        best, dist = self._best(x, ids, beam)
-        for _ in range(24):
-            wider = self.near[np.maximum(best, 0)].reshape(len(x), -1)
-            fresh, fresh_d = self._best(x, np.concatenate([np.maximum(best, 0), wider], 1), beam)
-            same = (fresh == best).all()
-            best, dist = fresh, fresh_d
-            if same:
+    def search(self, x: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and squared distances of the nearest centroids found for each row, nearest first (inf where fewer). In each step
+        the ``wide`` nearest of the beam that weren't yet are replaced by themselves and their neighbours."""
+        start = np.broadcast_to(self.entry, (len(x), len(self.entry)))
+        ids, d, done = self._best(start, self._apart(x, start), np.zeros(start.shape, bool), beam)
+        live = np.arange(len(x))
+        while len(live):
+            waiting = np.where(done[live], np.inf, d[live])
+            pick = np.argsort(waiting, axis=1, kind="stable")[:, :wide]
+            open_ = np.isfinite(np.take_along_axis(waiting, pick, 1))
+            more = open_.any(1)
+            live, pick, open_ = live[more], pick[more], open_[more]
+            if not len(live):
                 break
-        return best, dist
+            now = done[live]
+            np.put_along_axis(now, pick, True, 1)
+            fresh = self.near[np.take_along_axis(ids[live], pick, 1)].reshape(len(live), -1)
+            fresh_d = np.where(np.repeat(open_, self.near.shape[1], 1), self._apart(x[live], fresh), np.inf)
+            ids[live], d[live], done[live] = self._best(np.concatenate([ids[live], fresh], 1), np.concatenate([d[live], fresh_d], 1), np.concatenate([now, np.zeros(fresh.shape, bool)], 1), beam)
+        return np.where(np.isinf(d), -1, ids), d
+
+    def _apart(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return ((self.c[ids] - x[:, None, :]) ** 2).sum(2)
 
-    def _best(self, x: np.ndarray, ids: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.sort(ids, axis=1)
-        d = ((self.c[ids] - x[:, None, :]) ** 2).sum(2)
+    @staticmethod
+    def _best(ids: np.ndarray, d: np.ndarray, done: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest ``beam`` of each row, each id once."""
+        order = np.argsort(ids, axis=1, kind="stable")  # of equal ids the first, which is the one already in the beam
+        ids, d, done = (np.take_along_axis(a, order, 1) for a in (ids, d, done))
         d[:, 1:][ids[:, 1:] == ids[:, :-1]] = np.inf
         if d.shape[1] < beam:
             pad = ((0, 0), (0, beam - d.shape[1]))
-            d, ids = np.pad(d, pad, constant_values=np.inf), np.pad(ids, pad, constant_values=-1)
-        at = np.argpartition(d, beam - 1, axis=1)[:, :beam] if d.shape[1] > beam else np.broadcast_to(np.arange(beam), (len(x), beam))
-        d, ids = np.take_along_axis(d, at, 1), np.take_along_axis(ids, at, 1)
-        order = np.lexsort((ids, d), axis=1)
-        d, ids = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
-        return np.where(np.isinf(d), -1, ids), d
+            d, ids, done = np.pad(d, pad, constant_values=np.inf), np.pad(ids, pad), np.pad(done, pad)
+        at = np.argsort(d, axis=1, kind="stable")[:, :beam]
+        return tuple(np.take_along_axis(a, at, 1) for a in (ids, d, done))
+
+
+_graphs: dict[bytes, CentroidGraph] = {}
+
 
+def _graph(centres: np.ndarray) -> CentroidGraph:
+    """The graph of these centroids, made once in each worker process."""
+    key = hashlib.blake2b(centres.tobytes(), digest_size=16).digest()
+    if key not in _graphs:
+        _graphs.clear()
+        _graphs[key] = CentroidGraph(centres)
+    return _graphs[key]
 
-def _route(centres: np.ndarray, dims: int, beam: int, replicas: int, store_ratio: float, min_probes: int, probe_ratio: float):
+
+def _lists(ids: np.ndarray, mask: np.ndarray) -> pa.ListArray:
+    """The masked ids of each row."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(mask.sum(1))], pa.int32()), pa.array(ids[mask], pa.int32()))
+
+
+def _route(sent: Broadcast, dims: int, beam: int, replicas: int, store_ratio: float, min_probes: int, probe_ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = CentroidGraph(centres)
+        graph = _graph(sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 some = batch.slice(start, 256)
@@ -118,54 +148,71 @@ def _route(centres: np.ndarray, dims: int, beam: int, replicas: int, store_ratio
                 d = np.sqrt(d2)
                 found = np.isfinite(d)
                 probe = found & ((d <= probe_ratio * d[:, :1]) | (np.arange(beam)[None, :] < min_probes))
+                met = graph.c[ids]
                 keep = np.zeros_like(found)
                 keep[:, 0] = True
                 for j in range(1, beam):
                     ok = found[:, j] & (d[:, j] <= store_ratio * d[:, 0]) & (keep.sum(1) < replicas)
-                    for i in range(j):
-                        gap = np.sqrt(((centres[ids[:, j]] - centres[ids[:, i]]) ** 2).sum(1))
-                        ok &= ~(keep[:, i] & (gap < d[:, j]))
-                    keep[:, j] = ok
-                lists = [pa.array([a[m].tolist() for a, m in zip(ids, mask, strict=True)], pa.list_(pa.int32())) for mask in (keep, probe)]
-                yield pa.RecordBatch.from_arrays([*some.columns, *lists], names=[*some.schema.names, "store", "probe"])
+                    at = np.flatnonzero(ok)
+                    gap = np.sqrt(((met[at, :j] - met[at, j : j + 1]) ** 2).sum(2))
+                    keep[at, j] = ~(keep[at, :j] & (gap < d[at, j, None])).any(1)
+                yield pa.RecordBatch.from_arrays([*some.columns, _lists(ids, keep), _lists(ids, probe)], names=[*some.schema.names, "store", "probe"])
 
     return run
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances, exact: by products where all are whole numbers small enough, else coordinate by coordinate."""
+    most = max(np.abs(x).max(), np.abs(y).max())
+    if 4 * x.shape[1] * most * most < 2**52 and (x == np.rint(x)).all() and (y == np.rint(y)).all():
+        return (x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)[None, :]
+    d = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        gap = x[:, j][:, None] - y[:, j][None, :]
+        d += gap * gap
+    return d
+
+
 def _search(dims: int, k: int):
     def run(table: pa.Table) -> pa.Table:
         gid = table["gid"].to_numpy()
         x = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
         is_query = table["query"].to_numpy()
         store = np.flatnonzero(~is_query)
-        store = store[np.argsort(gid[store], kind="stable")]
-        ids = table["ids"].take(pa.array(store)).to_pylist()
-        asked, best = [], []
-        for at in np.array_split(np.flatnonzero(is_query), max(1, is_query.sum() // 128)):
-            if not len(at) or not len(store):
+        lists = table["ids"].combine_chunks().take(pa.array(store))
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        of = np.repeat(store, np.diff(lists.offsets.to_numpy()))  # a row for each id, in the order of ids: ties go to the smaller
+        order = np.argsort(ids, kind="stable")
+        ids, of = ids[order], of[order]
+        asked, counts, best_d, best_id = [], [np.zeros(1, np.int64)], [], []
+        queries = np.flatnonzero(is_query)
+        for at in np.array_split(queries, max(1, len(queries) // 256)):
+            if not len(at) or not len(of):
                 continue
-            d = np.zeros((len(at), len(store)))
-            for j in range(dims):  # coordinate by coordinate: differences, not dot products, so that sums stay exact
-                gap = x[at, j][:, None] - x[store, j][None, :]
-                d += gap * gap
-            d[gid[at][:, None] == gid[store][None, :]] = np.inf
-            if np.where(np.isinf(d), 0, d).max() * len(store) < 2**52:  # distance and rank of the id in one exact number
-                rank = d * len(store) + np.arange(len(store))[None, :]
-                near = np.argpartition(rank, min(k, len(store)) - 1, axis=1)[:, :k]
+            d = _distances(x[at], x[of])
+            d[gid[at][:, None] == gid[of][None, :]] = np.inf
+            if np.where(np.isinf(d), 0, d).max() * len(of) < 2**52:  # distance and rank of the id in one exact number
+                rank = d * len(of) + np.arange(len(of))[None, :]
+                near = np.argpartition(rank, min(k, len(of)) - 1, axis=1)[:, :k]
             else:
                 near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for row, q in enumerate(at):
-                some = sorted((d[row, j], i) for j in near[row] if np.isfinite(d[row, j]) for i in ids[j])[:k]
-                asked.append(gid[q])
-                best.append([{"d": a, "id": b} for a, b in some])
-        return pa.table([pa.array(asked, pa.int64()), pa.array(best, pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))], names=["gid", "best"])
+            near_d = np.take_along_axis(d, near, 1)
+            some = np.isfinite(near_d)
+            asked.append(gid[at])
+            counts.append(some.sum(1))
+            best_d.append(near_d[some])
+            best_id.append(ids[near][some])
+        if not asked:
+            return pa.table([[], []], schema=_FOUND)
+        best = pa.StructArray.from_arrays([pa.array(np.concatenate(best_d)), pa.array(np.concatenate(best_id))], names=["d", "id"])
+        return pa.table([pa.array(np.concatenate(asked)), pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), best)], schema=_FOUND)
 
     return run
 
 
 def nearest(
     df: DataFrame, id_col: str, vec_col: str, dims: int = 13, k: int = 5, sample: int = 40_000, list_size: int = 160,
-    beam: int = 24, replicas: int = 4, store_ratio: float = 1.35, min_probes: int = 8, probe_ratio: float = 2.0,
+    beam: int = 20, replicas: int = 4, store_ratio: float = 1.35, min_probes: int = 6, probe_ratio: float = 1.6,
 ) -> DataFrame:
     """(id, rank, neighbour, distance): up to k rows for each vector, distance being the sum of squared differences."""
     ship(df.sparkSession)
@@ -185,7 +232,7 @@ def nearest(
     centres = balanced_centroids(x, max(MIN_PER_CENTROID, round(list_size * share)))
     # Routing is costly for each row but the rows are small, so tasks are cut by rows, not by bytes.
     routed = cut(
-        entries.repartition(max(1, -(-n // ROUTE_ROWS))).mapInArrow(_route(centres, dims, beam, replicas, store_ratio, min_probes, probe_ratio), "vec array<double>, ids array<bigint>, gid bigint, store array<int>, probe array<int>"),
+        entries.repartition(max(1, -(-n // ROUTE_ROWS))).mapInArrow(_route(df.sparkSession.sparkContext.broadcast(centres), dims, beam, replicas, store_ratio, min_probes, probe_ratio), "vec array<double>, ids array<bigint>, gid bigint, store array<int>, probe array<int>"),
         "routed",
     )
     stored = routed.select(F.explode("store").alias("list"), F.lit(False).alias("query"), "gid", "vec", "ids")
