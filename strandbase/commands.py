@@ -44,8 +44,10 @@ def callgraph(spark: SparkSession, paths: Iterable[str], class_filters: Iterable
     """Patterns are checked before anything is opened; an unreadable archive stops the run."""
     compile_patterns(class_filters)
     methods = read_archives(spark, list(paths), "old", ("class", "method"), on_error="collect")
-    if bad := methods["error"].filter("entry is null").take(1):
-        raise ArchiveError(f"Failed to parse APK file: {bad[0]['error']}")
+    for bad in methods["error"].orderBy(F.col("entry").asc_nulls_first()).collect():  # at most one row for each entry of the archives
+        if bad["entry"] is None:
+            raise ArchiveError(f"Failed to parse APK file: {bad['error']}")
+        log.error("%s, %s: %s", bad["apk_id"], bad["entry"], bad["error"])
     return graph.dot_lines(graph.call_edges(methods["method"], class_filters))
 
 

@@ -26,20 +26,32 @@ def value_text(a: Column) -> Column:
     )
 
 
-def text(attrs: Column, *names: str) -> Column:
-    """The first of the named attributes that is there, as text."""
-    return F.coalesce(*(value_text(attribute(attrs, n)) for n in names))
+def attribute_values(attrs: Column) -> Column:
+    """The attributes as a map from name to (text, flag), of one name the first. Made once for each element, so that a summary's
+    many look-ups don't go through the list each time."""
+    names = F.transform(attrs, lambda a: a["name"])
+    first = F.filter(attrs, lambda a, i: a["name"].isNotNull() & (F.array_position(names, a["name"]) == i + 1))
+    return F.map_from_entries(F.transform(first, lambda a: F.struct(a["name"].alias("name"), F.struct(value_text(a).alias("text"), value_flag(a).alias("flag")).alias("value"))))
 
 
-def flag(attrs: Column, name: str) -> Column:
-    """An attribute as a boolean, null for what is none."""
-    a = attribute(attrs, name)
+def text(values: Column, *names: str) -> Column:
+    """The first of the named attributes that is there, as text (P12, P15); ``values`` is a map of ``attribute_values``."""
+    found = [values[n]["text"] for n in names]
+    return F.coalesce(*found) if len(found) > 1 else found[0]
+
+
+def value_flag(a: Column) -> Column:
+    """An attribute's value as a boolean, null for what is none."""
     return F.when(a["kind"] == "Boolean", a["b"]).when(a["kind"] == "Integer", a["i"] != 0).when((a["kind"] == "String") & a["s"].isin("true", "false"), a["s"] == "true")
 
 
-def name_or_empty(attrs: Column) -> Column:
+def flag(values: Column, name: str) -> Column:
+    return values[name]["flag"]
+
+
+def name_or_empty(values: Column) -> Column:
     """P16."""
-    return F.coalesce(text(attrs, "android:name"), F.lit(""))
+    return F.coalesce(text(values, "android:name"), F.lit(""))
 
 
 def version_code(attrs: Column) -> Column:

@@ -10,30 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandbase.functions.attributes import flag, name_or_empty, text, version_code
+from strandbase.functions.attributes import attribute_values, flag, name_or_empty, text, version_code
 
 DOC = ["apk_id", "side"]
 COMPONENTS = {"activity": "activities", "service": "services", "receiver": "receivers"}
+#: The elements that a summary is made of.
+SUMMARISED = (
+    "manifest", "application", *COMPONENTS, "provider", "intent-filter", "action", "category", "data", "uses-library", "meta-data", "uses-permission", "permission",
+    "uses-feature", "instrumentation", "supports-screens", "uses-sdk",
+)
 _A = F.col
 
 
 def _texts(**names: str) -> list[Column]:
-    return [text(_A("attrs"), *n.split("|")).alias(k) for k, n in names.items()]
+    return [text(_A("values"), *n.split("|")).alias(k) for k, n in names.items()]
 
 
 def _flags(**names: str) -> list[Column]:
-    return [flag(_A("attrs"), n).alias(k) for k, n in names.items()]
+    return [flag(_A("values"), n).alias(k) for k, n in names.items()]
 
 
 def _name() -> Column:
-    return name_or_empty(_A("attrs")).alias("name")
+    return name_or_empty(_A("values")).alias("name")
 
 
 def _listed(tag: str, value: Column, keep: Column | None = None) -> Column:
     """The children of a tag in document order, as an array of ``value``."""
     wanted = (_A("tag") == tag) if keep is None else (_A("tag") == tag) & keep
-    rows = F.array_sort(F.collect_list(F.when(wanted, F.struct(_A("sibling_ord").alias("o"), value.alias("v")))), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
-    return F.transform(rows, lambda x: x["v"])
+    return F.sort_array(F.collect_list(F.when(wanted, F.struct(_A("sibling_ord").alias("o"), value.alias("v")))))["v"]
 
 
 def _first(tag: str, value: Column) -> Column:
@@ -42,7 +46,7 @@ def _first(tag: str, value: Column) -> Column:
 
 def intent_filters(elements: DataFrame) -> DataFrame:
     """(apk_id, side, element_id, filters): the intent filters of each component."""
-    name = text(_A("attrs"), "android:name")
+    name = text(_A("values"), "android:name")
     data = F.struct(*_texts(scheme="android:scheme", host="android:host", port="android:port", path="android:path", path_pattern="android:pathPattern", path_prefix="android:pathPrefix", mime_type="android:mimeType"))
     leaves = elements.filter(_A("tag").isin("action", "category", "data"))
     inner = leaves.groupBy(*DOC, _A("parent_id").alias("element_id")).agg(
@@ -57,6 +61,9 @@ def intent_filters(elements: DataFrame) -> DataFrame:
 
 def manifest_summary(elements: DataFrame) -> DataFrame:
     """One row for each manifest; columns are the summary's fields in order, nested as they are rendered."""
+    elements = elements.filter(_A("tag").isin(*SUMMARISED) | _A("parent_id").isNull())
+    code = F.when(_A("parent_id").isNull(), version_code(_A("attrs")))
+    elements = elements.withColumns({"values": attribute_values(_A("attrs")), "version_code": code}).drop("attrs")
     filters = intent_filters(elements)
     kind = dict(filters.dtypes)["intent_filters"]
     rows = elements.join(filters, [*DOC, "element_id"], "left").withColumn("intent_filters", F.coalesce("intent_filters", F.array().cast(kind)))
@@ -77,7 +84,7 @@ def manifest_summary(elements: DataFrame) -> DataFrame:
     )
     kinds = dict(parts.dtypes)
     children = [F.coalesce(f, F.array().cast(kinds[f])).alias(f) for f in (*COMPONENTS.values(), "providers", "uses_libraries", "meta_data")]
-    roots = elements.filter("parent_id is null").select(*DOC, _A("element_id").alias("root_id"), _A("attrs").alias("root_attrs"))
+    roots = elements.filter("parent_id is null").select(*DOC, _A("element_id").alias("root_id"), _A("values").alias("root_values"), "version_code")
     apps = rows.filter("tag = 'application'").join(parts, [*DOC, "element_id"], "left")
     application = F.struct(
         *_texts(label="android:label", icon="android:icon", name="android:name"),
@@ -93,7 +100,7 @@ def manifest_summary(elements: DataFrame) -> DataFrame:
         *_flags(resizeable="android:resizeable", small_screens="android:smallScreens", normal_screens="android:normalScreens", large_screens="android:largeScreens", xlarge_screens="android:xlargeScreens", any_density="android:anyDensity"),
         *_texts(requires_smallest_width_dp="android:requiresSmallestWidthDp", compatible_width_limit_dp="android:compatibleWidthLimitDp", largest_width_limit_dp="android:largestWidthLimitDp"),
     )
-    name = text(_A("attrs"), "android:name")
+    name = text(_A("values"), "android:name")
     sdk = F.struct(*_texts(min="android:minSdkVersion", target="android:targetSdkVersion", max="android:maxSdkVersion"))
     rest = elements.filter(_A("tag").isin("uses-permission", "permission", "uses-feature", "instrumentation", "supports-screens", "uses-sdk")).groupBy(*DOC, _A("parent_id").alias("root_id")).agg(
         _listed("uses-permission", name, name.isNotNull()).alias("uses_permissions"), _listed("permission", declared).alias("declares_permissions"),
@@ -102,13 +109,13 @@ def manifest_summary(elements: DataFrame) -> DataFrame:
     )
     kinds = dict(rest.dtypes)
     full = roots.join(app, [*DOC, "root_id"], "left").join(rest, [*DOC, "root_id"], "left")
-    root = lambda *names: text(_A("root_attrs"), *names)
+    root = lambda *names: text(_A("root_values"), *names)
     version = lambda k: F.coalesce(_A(f"own_sdk.{k}"), root(f"android:{k}SdkVersion")).alias(f"{k}_sdk_version")
     some = lambda f: F.coalesce(f, F.array().cast(kinds[f])).alias(f)
     launches = lambda f: F.array_contains(f["actions"], "android.intent.action.MAIN") & F.array_contains(f["categories"], "android.intent.category.LAUNCHER")
     main = F.try_element_at(F.filter("application.activities", lambda a: F.exists(a["intent_filters"], launches)), F.lit(1))["name"]
     return full.select(
-        *DOC, root("package").alias("package_name"), version_code(_A("root_attrs")).alias("version_code"), root("android:versionName").alias("version_name"),
+        *DOC, root("package").alias("package_name"), "version_code", root("android:versionName").alias("version_name"),
         root("android:installLocation").alias("install_location"), root("platformBuildVersionCode", "android:platformBuildVersionCode").alias("platform_build_version_code"),
         root("platformBuildVersionName", "android:platformBuildVersionName").alias("platform_build_version_name"), F.struct(version("min"), version("target"), version("max")).alias("sdk"),
         some("uses_permissions"), some("declares_permissions"), some("uses_features"), main.alias("main_activity"), "application", some("instrumentation"), "supports_screens",

@@ -18,6 +18,7 @@ from strandbase.runtime import cut, table
 
 #: What the projection makes of flags and suppliers.
 OPCODES = {"NO": "InvokeVirtual", "NF": "InvokeStatic", "RO": "InvokeDirect", "RF": "InvokeInterface", "AO": "Const4", "AF": "IfEqz"}
+BLOCK = 60_000
 OUTSIDE = ["Landroid/app/A;", "Ljava/lang/B;", "Lkotlin/text/D;", "Lorg/other/E;"]
 
 
@@ -27,17 +28,18 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     who = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # nation: 25 rows by definition
     pkg = F.concat(F.lower("n_name"), F.lit("/"), F.lower("c_mktsegment"))
     orders = t("orders").join(who, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "n_nationkey", pkg.alias("pkg"))
-    by_pkg = Window.partitionBy("pkg")
-    # There are 125 packages whatever the scale, as in the data; their ranks are what the calls are aimed with.
-    ranked = orders.withColumn("at", F.row_number().over(by_pkg.orderBy("o_orderkey")) - 1).withColumn("size", F.count("*").over(by_pkg))
+    # There are 125 packages whatever the scale; calls stay within a block of keys, so that no window grows with the data.
+    by_block = Window.partitionBy("pkg", "block")
+    blocks = orders.withColumn("block", F.floor(F.col("o_orderkey") / BLOCK))
+    ranked = blocks.withColumn("at", F.row_number().over(by_block.orderBy("o_orderkey")) - 1).withColumn("size", F.count("*").over(by_block))
     ranked = cut(ranked, "ranked")
     place = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
     flags = F.concat("l_returnflag", "l_linestatus")
     opcode = reduce(lambda c, x: F.when(flags == x[0], x[1]).otherwise(c), OPCODES.items(), F.lit("Nop"))
     lines = t("lineitem").select("l_orderkey", *place, opcode.alias("opcode"))
-    lines = lines.join(ranked.select(F.col("o_orderkey").alias("l_orderkey"), "pkg", "size"), "l_orderkey")
-    targets = ranked.select("pkg", "at", F.col("o_custkey").alias("to_cust"), F.col("o_orderkey").alias("to_order"))
-    aimed = lines.withColumn("at", (F.col("l_partkey") % F.col("size")).cast("int")).join(targets, ["pkg", "at"])
+    lines = lines.join(ranked.select(F.col("o_orderkey").alias("l_orderkey"), "pkg", "block", "size"), "l_orderkey")
+    targets = ranked.select("pkg", "block", "at", F.col("o_custkey").alias("to_cust"), F.col("o_orderkey").alias("to_order"))
+    aimed = lines.withColumn("at", (F.col("l_partkey") % F.col("size")).cast("int")).join(targets, ["pkg", "block", "at"])
     inside = F.col("l_suppkey") % 2 == 0
     outside = F.element_at(F.array(*(F.lit(x) for x in OUTSIDE)), ((F.col("l_suppkey") / 2).cast("bigint") % 4 + 1).cast("int"))
     calls = F.startswith("opcode", F.lit("Invoke"))
@@ -87,6 +89,13 @@ def star_package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(key("node", "caller_key"), packages.NODE).join(key("to", "callee_key"), [*packages.PACKAGE, "to"]).select(*packages.PACKAGE, "caller_key", "callee_key", "n")
 
 
+def star_neighborhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = packages.package_graph(corpus(spark, sf_dir)[1])
+    key = lambda n, k: nodes.select(*packages.PACKAGE, F.col("node").alias(n), F.col("method_key").alias(k))
+    near = packages.neighbourhoods(edges).join(key("node", "method_key"), packages.NODE).join(key("neighbour", "neighbour_key"), [*packages.PACKAGE, "neighbour"])
+    return near.select(*packages.PACKAGE, "method_key", "neighbour_key")
+
+
 def star_wl_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = packages.package_graph(corpus(spark, sf_dir)[1])
     every, _, _ = packages.wl_labels(nodes, edges, structure.ITERATIONS)
@@ -105,7 +114,7 @@ def star_method_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.method_diff(*corpus(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (star_call_summary, star_package_edges, star_wl_labels, star_match, star_match_consistency, star_method_diff)}
+QUERIES = {f.__name__: f for f in (star_call_summary, star_package_edges, star_neighborhoods, star_wl_labels, star_match, star_match_consistency, star_method_diff)}
 
 
 def _corpus_sql() -> str:
@@ -128,13 +137,13 @@ def _corpus_sql() -> str:
 
     return f"""
 star_ranked as (
-  select o_orderkey, o_custkey, n_nationkey, lower(n_name) || '/' || lower(c_mktsegment) as pkg, row_number() over (partition by lower(n_name) || '/' || lower(c_mktsegment) order by o_orderkey) - 1 as place,
-    count(*) over (partition by lower(n_name) || '/' || lower(c_mktsegment)) as size
-  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+  select *, row_number() over (partition by pkg, block order by o_orderkey) - 1 as place, count(*) over (partition by pkg, block) as size from (
+    select o_orderkey, o_custkey, n_nationkey, lower(n_name) || '/' || lower(c_mktsegment) as pkg, o_orderkey // {BLOCK} as block
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)),
 star_lines as (
   select l.*, {opcode} as opcode, t.o_custkey as t_cust, t.o_orderkey as t_order,
     row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, {opcode}) - 1 as i
-  from lineitem l join star_ranked r on r.o_orderkey = l_orderkey join star_ranked t on t.pkg = r.pkg and t.place = l_partkey % r.size),
+  from lineitem l join star_ranked r on r.o_orderkey = l_orderkey join star_ranked t on t.pkg = r.pkg and t.block = r.block and t.place = l_partkey % r.size),
 star_bodies as (
   select l_orderkey as o_orderkey, list({{'i': i, 'opcode': opcode, 'to_cust': case when starts_with(opcode, 'Invoke') and l_suppkey % 2 = 0 then t_cust end,
     'to_order': case when starts_with(opcode, 'Invoke') and l_suppkey % 2 = 0 then t_order end,
@@ -158,6 +167,7 @@ ORACLE = {
         + " from feat group by 1, 2, 3) n left join (select side, apk_id, pkg, count(*) as n_edges from edge group by 1, 2, 3) e using (side, apk_id, pkg)"
     ),
     "star_package_edges": _over_corpus(structure.ORACLE["package_edges"]),
+    "star_neighborhoods": _over_corpus(structure.ORACLE["neighborhoods"]),
     "star_wl_labels": _over_corpus(structure.ORACLE["wl_labels"]),
     "star_match": _over_corpus(structure.ORACLE["match_packages"]),
     "star_match_consistency": _over_corpus(structure.ORACLE["match_node_consistency"]),

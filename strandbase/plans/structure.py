@@ -403,6 +403,11 @@ select apk_id, 0 as part, rpad('Package (old)', cast(old_label as int), ' ') ||
 union all select apk_id, 1, repeat('-', cast(old_label + new_label + score_label + status + 6 as int)) from widths
 union all select s.apk_id, 2, s.old_label || repeat(' ', w.old_label - strlen(s.old_label)) || '  ' || s.new_label || repeat(' ', w.new_label - strlen(s.new_label)) || '  '
   || repeat(' ', w.score_label - strlen(s.score_label)) || s.score_label || '  ' || s.status || repeat(' ', w.status - strlen(s.status)) from shown s join widths w using (apk_id)""",
+    "match_detail_lines": _WL + f"""
+select f.apk_id, case f.status when 'REMOVED' then '  ' || {_LABEL.format(c='f.old_package')} || '  (removed)' when 'NEW' then '  ' || {_LABEL.format(c='f.new_package')} || '  (added)'
+  else '  ' || {_LABEL.format(c='f.old_package')} || '  <->  ' || {_LABEL.format(c='f.new_package')} || '  (methods ' || cast(coalesce(o.n_methods, 0) as bigint) || '->' || cast(coalesce(w.n_methods, 0) as bigint)
+    || ' | score=' || case when score <= 0 then '---' else printf('%.2f', floor(score * 100 + 0.5) / 100) end || ')' end as line
+from fine f left join counts o on o.side = 'old' and o.apk_id = f.apk_id and o.pkg = f.old_package left join counts w on w.side = 'new' and w.apk_id = f.apk_id and w.pkg = f.new_package""",
     "column_widths": _WL + "select * from widths",
     "permission_list": _PERMISSIONS + "select * from kept",
     "permission_added": _EDITED.format(a="new", b="old"),
