@@ -50,20 +50,39 @@ def render_json(summary: Row | dict) -> str:
     return json.dumps(as_tree(summary), indent=2, ensure_ascii=False)
 
 
-_plain = re.compile(r"[A-Za-z_/.$][\w ./$@+-]*(?<! )", re.A)
-_special = {"null", "true", "false", "yes", "no", "on", "off", "y", "n", "~", ""}
+#: Words and numbers that a plain scalar would be read as, what no plain scalar begins with or holds, and escapes.
+WORDS = {f(w) for w in ("null", "true", "false", "yes", "no", "on", "off", "y", "n") for f in (str.lower, str.capitalize, str.upper)} | {"~", ""}
+NUMBER = re.compile(r"[+-]?(?:0x[0-9a-fA-F]+|0o[0-7]+|0b[01]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|\.(?:inf|Inf|INF))|\.(?:nan|NaN|NAN)")
+NOT_PLAIN = re.compile(r"""[ #,\[\]{}&*!|>'"%@`]|[?:-](?:[ \t]|$)|---|\.\.\.|.*(?::(?:[ \t]|$)|[ \t]#| $)""")
+ESCAPES = {"\0": "0", "\a": "a", "\b": "b", "\t": "t", "\n": "n", "\v": "v", "\f": "f", "\r": "r", "\x1b": "e", '"': '"', "\\": "\\", "\x85": "N", "\u2028": "L", "\u2029": "P"}
+UNPRINTED = re.compile("[\x00-\x09\x0b-\x1f\x7f-\x9f\u2028\u2029\ufeff\ufffe\uffff]")
 
 
-def _yaml_scalar(v: str | bool | None) -> str:
+def _escaped(v: str) -> str:
+    def shown(m: re.Match) -> str:
+        c = m.group()
+        return "\\" + (ESCAPES.get(c) or (f"x{ord(c):02X}" if c <= "\xff" else f"u{ord(c):04X}"))
+
+    return '"' + re.sub(f"{UNPRINTED.pattern}|[\n\"\\\\]", shown, v) + '"'
+
+
+def _yaml_scalar(v: str | bool | None, indent: int = 0) -> str:
+    """A value as a plain scalar where it reads back as the same text, else quoted; text of several lines as a literal block,
+    whose lines stand ``indent`` + 1 levels deep."""
     if v is None:
         return "null"
     if isinstance(v, bool):
         return "true" if v else "false"
-    if v.lower() not in _special and _plain.fullmatch(v) and not re.fullmatch(r"[.+-]?(\d|inf|nan).*", v, re.I):
-        return v
-    if re.search(r"[\x00-\x1f\x7f\x85  ﻿]", v):
-        return json.dumps(v)
-    return "'" + v.replace("'", "''") + "'"
+    if UNPRINTED.search(v) or re.search(r" \n", v) or ("\n" in v and v[-1] == " "):
+        return _escaped(v)
+    if "\n" in v:
+        deep = "2" if v[0] in " \n" else ""
+        chomp = "-" if v[-1] != "\n" else "+" if v == "\n" or v[-2:] == "\n\n" else ""
+        lines = v.removesuffix("\n").split("\n")
+        return "\n".join([f"|{deep}{chomp}", *("  " * (indent + 1) + x if x else "" for x in lines)])
+    if v in WORDS or NUMBER.fullmatch(v) or NOT_PLAIN.match(v):
+        return "'" + v.replace("'", "''") + "'"
+    return v
 
 
 def _yaml(v: object, indent: int) -> list[str]:
@@ -74,7 +93,7 @@ def _yaml(v: object, indent: int) -> list[str]:
             if isinstance(x, (dict, list)) and x:
                 out += [f"{pad}{k}:", *_yaml(x, indent + isinstance(x, dict))]
             else:
-                out.append(f"{pad}{k}: " + ("[]" if isinstance(x, list) else "{}" if isinstance(x, dict) else _yaml_scalar(x)))
+                out.append(f"{pad}{k}: " + ("[]" if isinstance(x, list) else "{}" if isinstance(x, dict) else _yaml_scalar(x, indent)))
         return out
     out = []
     for x in v:
@@ -82,7 +101,7 @@ def _yaml(v: object, indent: int) -> list[str]:
             first, *rest = _yaml(x, indent + 1)
             out += [f"{pad}- {first.lstrip()}", *rest]
         else:
-            out.append(f"{pad}- {_yaml_scalar(x)}")
+            out.append(f"{pad}- {_yaml_scalar(x, indent)}")
     return out
 
 

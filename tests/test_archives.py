@@ -2,10 +2,12 @@
 
 import json
 import random
+import zipfile
 
 import pytest
 
 from strandbase import commands
+from strandbase.sinks import manifest_text
 from strandbase.sources import dex, manifest_xml, tables
 from strandbase.sources.archives import read_archives, read_text_manifests
 from tests.archives import apk, binary_manifest
@@ -106,7 +108,7 @@ def test_archive_tables(spark, pair, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "t"), "method").filter("side = 'old'").count() == 3
 
 
-def test_programs(spark, pair, tmp_path):
+def test_programs(spark, pair, tmp_path, caplog):
     old, new = f"{pair}/old.apk", f"{pair}/new.apk"
     assert lines(commands.callgraph(spark, [old, new])) == ["digraph {", '"p.A:f" -> "p.B:g"; ', "}"]
     assert lines(commands.callgraph(spark, [old], ["B"])) == ["digraph {", "}"]
@@ -121,6 +123,11 @@ def test_programs(spark, pair, tmp_path):
     assert lines(commands.permission_list(spark, new)) == ["a.P", "a.R"]
     assert lines(commands.permission_changes(spark, old, new)) == ["DELETED: a.Q", "DELETED: a.Q", "ADDED: a.R"]
     assert lines(commands.permission_changes(spark, old, f"{pair}/bare.apk")) == []
+    with zipfile.ZipFile(tmp_path / "half.apk", "w") as half:
+        half.writestr("classes.dex", b"no class file")
+    with caplog.at_level("ERROR"):
+        assert lines(commands.callgraph(spark, [str(tmp_path / "half.apk"), old])) == ["digraph {", '"p.A:f" -> "p.B:g"; ', "}"]
+    assert "half, classes.dex" in caplog.text
     for run in (lambda: commands.callgraph(spark, [f"{pair}/bad.apk"]), lambda: commands.compare(spark, f"{pair}/bad.apk", new), lambda: commands.show_manifest(spark, f"{pair}/bare.apk")):
         with pytest.raises(commands.ArchiveError):
             run()
@@ -210,6 +217,16 @@ def test_manifest_forms(spark, pair):
     assert commands.show_manifest(spark, new, "xml").startswith('<?xml version="1.0" encoding="utf-8"?>\n<manifest xmlns:android=')
 
 
+@pytest.mark.parametrize(("text", "shown"), [
+    ("x.y", "x.y"), ("1.2.3", "1.2.3"), ("1.0-beta", "1.0-beta"), ("12_000", "12_000"), ("7", "'7'"), ("-7", "'-7'"), ("1.0", "'1.0'"), (".5", "'.5'"), ("1e5", "'1e5'"), ("007", "'007'"), ("0x1F", "'0x1F'"),
+    ("@0x7f010000", "'@0x7f010000'"), ("", "''"), ("null", "'null'"), ("Yes", "'Yes'"), ("yES", "yES"), ("~", "'~'"), (".inf", "'.inf'"), ("2024-01-02", "2024-01-02"), ("12:30", "12:30"), ("a: b", "'a: b'"), ("a:", "'a:'"), ("a:b", "a:b"),
+    ("a #b", "'a #b'"), ("a#b", "a#b"), ("#b", "'#b'"), ("- a", "'- a'"), ("-a", "-a"), ("-", "'-'"), ("---", "'---'"), ("?a", "?a"), ("it's", "it's"), ("'a", "'" + "''a'"), ("[a]", "'[a]'"), ("a, b", "a, b"), ("%a", "'%a'"), (" a", "' a'"), ("a ", "'a '"),
+    ("a\tb", '"a\\tb"'), ("a\x85b", '"a\\Nb"'), ("é ü", "é ü"), ("日本", "日本"), ("\x01", '"\\x01"'), ("a\nb", "|-\n  a\n  b"), ("a\nb\n", "|\n  a\n  b"), ("a\n\nb", "|-\n  a\n\n  b"), (" a\nb", "|2-\n   a\n  b"), ("a \nb", '"a \\nb"'),
+])
+def test_yaml_scalars(text, shown):
+    assert manifest_text._yaml_scalar(text) == shown
+
+
 def test_text_manifests(spark, tmp_path):
     (tmp_path / "one.xml").write_text('<manifest xmlns:android="http://schemas.android.com/apk/res/android" package="q"><application android:debuggable="true"/><application android:debuggable="false"/></manifest>')
     (tmp_path / "two.xml").write_text("<manifest>")
