@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandbase.runtime import cut, empty, ship
+from strandbase.runtime import cut, empty, release, ship
 
 BITS = 16
 UNIVERSE = 1 << BITS
@@ -356,7 +356,8 @@ def _candidates(entries: DataFrame, similarity: float, bands: int, rows: int, ho
         own = range(i * bands // rounds, (i + 1) * bands // rounds)
         dealt = entries.mapInArrow(_dealt(own, rows, seed, -(-parts // rounds), frequent), "part int, entries binary, rows binary")
         met.append(cut(dealt.groupBy("part").applyInArrow(_met(similarity, hot), "a bigint, b bigint"), "met"))
-    every = reduce(DataFrame.union, met).distinct()
+    every = cut(reduce(DataFrame.union, met).distinct(), "every")
+    release(*met)
     crowd = every.filter("b is null").select(F.col("a").alias("rep"))
     pairs = every.filter("b is not null")
     return pairs if empty(crowd) else pairs.union(_crowd_pairs(crowd, entries, similarity)).distinct()
@@ -371,16 +372,19 @@ def similar_contents(
     # Written before it is filtered: a filter on the elements' number would have them made twice.
     content = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.concat(F.array(head), elements).alias("content"))
     digest = F.struct(F.xxhash64("content").alias("x"), F.xxhash64(F.lit(5), "content").alias("y"))
-    written = cut(content.select("id", "content", digest.alias("digest"), F.size("content").alias("n")), "contents").filter(F.col("n") > least)
+    contents = cut(content.select("id", "content", digest.alias("digest"), F.size("content").alias("n")), "contents")
+    written = contents.filter(F.col("n") > least)
     chosen = written.groupBy("id").agg(F.min("digest").alias("digest"))
     classes = cut(chosen.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     members = cut(chosen.join(classes, "digest").select("rep", "id", "copies"), "members_of")
     own = classes.select(F.col("rep").alias("id"), "digest")
     entries = cut(written.join(own, ["id", "digest"]).dropDuplicates(["id", "digest"]).select(F.col("id").alias("rep"), "n", "content"), "entries")
+    release(contents, classes)
     pairs = cut(_candidates(entries, similarity, bands, rows, hot, seed), "pairs")
     by_a, by_b = entries.select(F.col("rep").alias("a"), F.col("content").alias("ca")), entries.select(F.col("rep").alias("b"), F.col("content").alias("cb"))
     full = pairs.join(by_a, "a").join(by_b, "b").select("a", "b", "ca", "cb")
     links = cut(full.mapInArrow(_verify(similarity), "a bigint, b bigint, similarity double"), "links")
+    release(entries, pairs)
     return links, members
 
 

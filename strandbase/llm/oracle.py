@@ -52,6 +52,7 @@ from m left join s using (method_id)""",
     "p1_found": _TERMS + "select field, term, mark from marked where mark is not null",
     "p1_term_counts": _TERMS + "select field, term, n_total, n_records, mark from marked",
     "p3_found": f"select callee from ({_FREQUENT})",
+    "p3_exact_counts": f"select callee, n_exact from ({_FREQUENT})",
     "p6_found": """
 with recursive ids as (
   select old_pkg_id as pkg_id from match_result where old_pkg_id is not null

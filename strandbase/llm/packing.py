@@ -89,7 +89,7 @@ def _streams(items: DataFrame, lanes: int) -> DataFrame:
     return items.repartition(lanes, "lane").sortWithinPartitions("lane", "order", "key", "size")
 
 
-def pack(df: DataFrame, key: Column, size: Column, capacity: int = 2048, lane_items: int = 250_000) -> DataFrame:
+def pack(df: DataFrame, key: Column, size: Column, capacity: int = 2048, lane_items: int = 25_000) -> DataFrame:
     """(key, n_tokens, part_no, start, length, container): one row for each item, or for each part of a split one."""
     ship(df.sparkSession)
     kept = df.select(key.cast("bigint").alias("key"), F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0).cast("bigint")).alias("size"))

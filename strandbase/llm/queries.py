@@ -37,6 +37,10 @@ def p3_frequent_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p3(spark, sf_dir).select(F.col("value").alias("callee"), "n_approx", "n_exact", "share")
 
 
+def p3_exact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p3(spark, sf_dir).select(F.col("value").alias("callee"), "n_exact")
+
+
 def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "package_node"), "vec_id", "features", 13, 5)
 
@@ -109,6 +113,13 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p9(spark, sf_dir).select(F.col("key").alias("doc_id"), "part_no", "start", "length", "container")
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers are filled: tokens, containers, the least number that could hold them, and the share filled."""
+    held = _p9(spark, sf_dir).filter("container is not null")
+    n = held.agg(F.sum("length").alias("n_tokens"), F.count_distinct("container").alias("n_containers"))
+    return n.select(F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "n_containers", F.coalesce(F.ceil(F.col("n_tokens") / 2048), F.lit(0)).alias("least_containers"), (F.col("n_tokens") / (F.col("n_containers") * 2048)).alias("fill"))
+
+
 def _p10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.abuse_scores(table(spark, sf_dir, "documents"), ["doc_id", "source"], F.col("text"), table(spark, sf_dir, "abuse_sample"))
 
@@ -126,4 +137,4 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p10(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_docs"), flagged.alias("n_flagged"), (flagged / F.count("*")).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_frequent_callees, p4_found, p4_nearest, p5_found, p5_classes, p6_found, p7_found, p7_shared_share, p8_ids, p9_found, p9_containers, p10_found, p10_scores, p10_source_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_frequent_callees, p3_exact_counts, p4_found, p4_nearest, p5_found, p5_classes, p6_found, p7_found, p7_shared_share, p8_ids, p9_found, p9_containers, p9_fill, p10_found, p10_scores, p10_source_rates)}

@@ -209,6 +209,47 @@ def test_near_duplicates_with_edits_spread_evenly(spark):
     assert {tuple(r) for r in got} == {(2 * i, 2 * i + 1) for i in range(300)}
 
 
+@pytest.mark.parametrize("spread", [True, False])
+@pytest.mark.parametrize("size", [20, 40, 80, 160])
+def test_bands_meet_at_the_limit(size, spread):
+    """Recall of the candidate search for pairs of similarity 0.65, all edits being replacements by new elements."""
+    rng = np.random.default_rng(size + spread)
+    edits, pairs = size * 35 // 100, 1000
+    found = 0
+    for _ in range(pairs // 50):
+        rows = []
+        for _ in range(50):
+            base = rng.integers(0, 10**9, size)
+            other = base.copy()
+            at = np.arange(edits) * size // edits if spread else rng.choice(size, edits, replace=False)
+            other[at] = 10**10 + rng.integers(0, 10**9, edits)
+            rows += [base, other]
+        keys = near_duplicates.band_keys(np.concatenate(rows), np.arange(0, 101 * size, size), range(120), 4, 17)
+        found += (keys[::2] == keys[1::2]).any(1).sum()
+    assert found >= 0.99 * pairs
+
+
+def test_buckets_beyond_a_size_give_their_members():
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 50, 20) for _ in range(6)]
+    entries = np.empty(6, near_duplicates._ENTRY)
+    entries["rep"], entries["n"], entries["sketch"] = np.arange(10, 16), 20, near_duplicates.sketches(np.concatenate([rows[0]] * 6), np.arange(0, 140, 20))
+    key, of = np.array([7, 7, 7, 9, 9, 4], np.uint32), np.array([0, 1, 2, 3, 4, 5])
+    pairs, crowd = near_duplicates.bucket_pairs(entries, key, of, 0.65, 2)
+    assert (pairs.tolist(), crowd.tolist()) == ([[13, 14]], [0, 1, 2])
+    pairs, crowd = near_duplicates.bucket_pairs(entries, key, of, 0.65, 3)
+    assert (pairs.tolist(), crowd.tolist()) == ([[10, 11], [10, 12], [11, 12], [13, 14]], [])
+
+
+def test_long_distances():
+    rng = random.Random(13)
+    for _ in range(30):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(1, 90))] for _ in range(2))
+        assert near_duplicates.edit_distances([np.array(a)], [np.array(b)], long=0).tolist() == [distance(a, b)]
+    a = np.arange(30_000)
+    assert near_duplicates.edit_distances([a], [np.r_[a[5:20_000], a[20_010:], a[:3]]]).tolist() == [18]
+
+
 # 6: groups
 
 def brute_groups(pairs, ids):
