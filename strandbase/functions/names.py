@@ -17,8 +17,9 @@ def jni_class_to_java(jni: Column) -> Column:
 
 def package_of(jni: Column) -> Column:
     """The package of ``La/b/C;`` is ``a/b``, that of ``LC;`` is empty, anything else has none."""
-    inner = F.regexp_extract(jni, r"(?s)\AL(.*);\z", 1)
-    return F.when(F.startswith(jni, F.lit("L")) & F.endswith(jni, F.lit(";")), F.regexp_extract(inner, r"(?s)\A(.*)/[^/]*\z", 1))
+    inner = F.substring(jni, F.lit(2), F.length(jni) - 2)
+    own = F.length(F.substring_index(inner, "/", -1))
+    return F.when(F.startswith(jni, F.lit("L")) & F.endswith(jni, F.lit(";")), F.substring(inner, F.lit(1), F.length(inner) - own - 1))
 
 
 def package_label(pkg: Column) -> Column:

@@ -6,7 +6,9 @@ md5 texts, so that equality and order are the same wherever they are computed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandbase.functions.filters import is_branch, is_invoke
@@ -33,25 +35,30 @@ def _described(methods: DataFrame) -> DataFrame:
     """Counts over each method's ops without making rows of them: a short code for each op, then the codes counted (A3). This
     comes before any shuffle, so that bodies never travel."""
     key = method_key(F.col("class_jni"), F.col("name"), F.col("descriptor"))
-    real = F.filter("ops", lambda x: x["kind"] == "Op")
-    invoked = F.filter(real, lambda x: is_invoke(x["opcode"]))
-    place = F.transform(invoked, lambda x: F.when(package_of(x["callee_class"]) == F.col("pkg"), "own").otherwise(external_kind(x["callee_class"])))
-    form = F.transform(invoked, lambda x: F.regexp_extract(x["opcode"], "^Invoke(Virtual|Super|Static|Direct|Interface|Polymorphic)", 1))
-    own = F.filter(invoked, lambda x: package_of(x["callee_class"]) == F.col("pkg"))
-    rows = methods.withColumn("pkg", package_of(F.col("class_jni"))).filter("pkg is not null").withColumns({
-        "method_key": key, "places": place, "forms": form, "num_instructions": F.size(real),
-        "has_branches": F.exists(real, lambda x: is_branch(x["opcode"])).cast("int"),
-        "calls": F.transform(own, lambda x: F.xxhash64(method_key(x["callee_class"], x["callee_name"], x["callee_desc"]))),
-    })
-    count = lambda c, *names: F.coalesce(F.size(F.filter(c, lambda x: x.isin(*names))), F.lit(0))
+    kinds = {"virtual": ("InvokeVirtual", "InvokeSuper"), "static": ("InvokeStatic",), "direct": ("InvokeDirect",), "interface": ("InvokeInterface",)}
+
+    def told(x: Column) -> Column:
+        """What is counted of an op, worked out once."""
+        starts = lambda names: reduce(Column.__or__, (F.startswith(x["opcode"], F.lit(n)) for n in names))
+        form = reduce(lambda rest, k: F.when(starts(kinds[k]), k).otherwise(rest), kinds, F.lit("none"))
+        owner = x["callee_class"]
+        place = F.when(package_of(owner) == F.col("pkg"), "own").otherwise(external_kind(owner))
+        callee = method_key(owner, x["callee_name"], x["callee_desc"])
+        invoked = F.when(is_invoke(x["opcode"]), F.struct(form.alias("form"), place.alias("place"), callee.alias("callee")))
+        return F.struct(is_branch(x["opcode"]).alias("branch"), invoked.alias("invoked"))
+
+    rows = methods.withColumn("pkg", package_of(F.col("class_jni"))).filter("pkg is not null")
+    rows = rows.withColumn("told", F.transform(F.filter("ops", lambda x: x["kind"] == "Op"), told))
+    rows = rows.withColumns({"method_key": key, "invoked": F.filter(F.transform("told", lambda x: x["invoked"]), lambda x: x.isNotNull())})
     some = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))  # noqa: E731 - the size of null is -1
+    count = lambda field, *names: some(F.size(F.filter("invoked", lambda x: x[field].isin(*names))))
     return rows.select(
-        *PACKAGE, "method_key", F.xxhash64("method_key").alias("node"), "dex_ord", "class_ord", "method_ord", "calls", some(F.size("forms")).alias("out_degree"),
-        some(count("places", "android", "androidx")).alias("ext_android"), some(count("places", "java")).alias("ext_java"),
-        some(count("places", "kotlin")).alias("ext_kotlin"), some(count("places", "other")).alias("ext_other"),
-        some(count("forms", "Virtual", "Super")).alias("invoke_virtual"), some(count("forms", "Static")).alias("invoke_static"),
-        some(count("forms", "Direct")).alias("invoke_direct"), some(count("forms", "Interface")).alias("invoke_interface"),
-        F.coalesce("n_param_entries", F.lit(0)).alias("num_params"), some(F.col("num_instructions")).alias("num_instructions"), some(F.col("has_branches")).alias("has_branches"),
+        *PACKAGE, "method_key", F.xxhash64("method_key").alias("node"), "dex_ord", "class_ord", "method_ord",
+        F.transform(F.filter("invoked", lambda x: x["place"] == "own"), lambda x: F.xxhash64(x["callee"])).alias("calls"), some(F.size("invoked")).alias("out_degree"),
+        count("place", "android", "androidx").alias("ext_android"), count("place", "java").alias("ext_java"), count("place", "kotlin").alias("ext_kotlin"), count("place", "other").alias("ext_other"),
+        *(count("form", k).alias(f"invoke_{k}") for k in kinds),
+        F.coalesce("n_param_entries", F.lit(0)).alias("num_params"), some(F.size("told")).alias("num_instructions"),
+        F.coalesce(F.exists("told", lambda x: x["branch"]).cast("int"), F.lit(0)).alias("has_branches"),
     )
 
 
