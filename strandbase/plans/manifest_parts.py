@@ -15,7 +15,10 @@ from strandbase.runtime import table
 KINDS = ["String", "Boolean", "Integer", "Hex", "Reference"]
 STRINGS = ["true", "false", "yes", ""]
 _ELEMENT = f"array<struct<element_id:bigint,parent_id:bigint,sibling_ord:int,depth:int,tag:string,attrs:{ATTRIBUTES}>>"
-_S = F.col("summary_id")
+
+
+def _id() -> Column:
+    return F.col("summary_id")
 
 
 def _said(name: str, value: str) -> Column:
@@ -24,9 +27,9 @@ def _said(name: str, value: str) -> Column:
 
 
 def _made(name: str, j: int) -> Column:
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), ((_S + j) % 5 + 1).cast("int"))
-    n = (_S * 7 + 13 * j) % 300
-    word = F.element_at(F.array(*map(F.lit, STRINGS)), ((_S + j) % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), ((_id() + j) % 5 + 1).cast("int"))
+    n = (_id() * 7 + 13 * j) % 300
+    word = F.element_at(F.array(*map(F.lit, STRINGS)), ((_id() + j) % 4 + 1).cast("int"))
     value = lambda ok, v: F.when(ok, v)
     return F.struct(
         F.lit(name).alias("name"), n.cast("string").alias("raw_value"), kind.alias("kind"), value(kind == "String", word).alias("s"),
@@ -42,7 +45,7 @@ def _element(at: int, parent: int | None, order: int, tag: str, *attrs: Column,
 
 def part_trees(rows: DataFrame) -> DataFrame:
     """Manifest elements of rows with a ``summary_id``, given in another order than the document's."""
-    m3 = _S % 3
+    m3 = _id() % 3
     platform = F.filter(F.array(F.when(m3 == 0, _made("platformBuildVersionCode", 2)), F.when(m3 < 2, _made("android:platformBuildVersionCode", 3))), lambda a: a.isNotNull())
     root = F.concat(F.array(_said("package", "p.q"), _made("android:versionCode", 1), _made("android:minSdkVersion", 4)), platform)
     services = [
@@ -54,22 +57,22 @@ def part_trees(rows: DataFrame) -> DataFrame:
         _element(22, 1, 2, "activity-alias", _said("android:name", "A0")), _element(23, 21, 0, "intent-filter", when=m3 < 2),
         _element(24, 23, 0, "action", _said("android:name", "android.intent.action.MAIN")), _element(25, 23, 1, "category", _said("android:name", "android.intent.category.LAUNCHER"), when=m3 == 1),
     ]
-    odd = _S % 2 == 1
+    odd = _id() % 2 == 1
     every = [
         *services, *launcher,
-        _element(2, 0, 0, "uses-sdk", *[_made("android:minSdkVersion", 5)], when=_S % 4 == 0),
-        _element(1, 0, 1, "application", _made("android:label", 8), when=_S % 11 != 0),
+        _element(2, 0, 0, "uses-sdk", *[_made("android:minSdkVersion", 5)], when=_id() % 4 == 0),
+        _element(1, 0, 1, "application", _made("android:label", 8), when=_id() % 11 != 0),
         _element(40, 1, 20, "receiver", _said("android:name", "R"), when=odd), _element(41, 40, 0, "intent-filter", when=odd),
         _element(43, 41, 1, "data", _made("android:scheme", 50), _made("android:port", 51)), _element(42, 41, 0, "action", _said("android:name", "go")),
-        _element(50, 1, 21, "provider", _made("android:authorities", 60), _made("android:exported", 61), _made("android:readPermission", 62), _made("android:grantUriPermissions", 63), _made("android:multiprocess", 64), _made("android:syncable", 65), when=_S % 4 == 1),
+        _element(50, 1, 21, "provider", _made("android:authorities", 60), _made("android:exported", 61), _made("android:readPermission", 62), _made("android:grantUriPermissions", 63), _made("android:multiprocess", 64), _made("android:syncable", 65), when=_id() % 4 == 1),
         _element(60, 1, 22, "uses-library", _said("android:name", "lib"), _made("android:required", 70)),
         _element(70, 1, 23, "meta-data", _said("android:name", "m"), _made("android:value", 80), _made("android:resource", 81), when=m3 > 0),
-        _element(80, 0, 5, "instrumentation", _made("android:name", 90), _made("android:targetPackage", 91), _made("android:handleProfiling", 92), _made("android:functionalTest", 93), when=_S % 5 == 0),
+        _element(80, 0, 5, "instrumentation", _made("android:name", 90), _made("android:targetPackage", 91), _made("android:handleProfiling", 92), _made("android:functionalTest", 93), when=_id() % 5 == 0),
         _element(90, 0, 6, "supports-screens", _made("android:smallScreens", 95), _made("android:anyDensity", 96), _made("android:requiresSmallestWidthDp", 97), when=odd),
     ]
     top = F.struct(F.lit(0).cast("bigint").alias("element_id"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(0).alias("sibling_ord"), F.lit(0).alias("depth"), F.lit("manifest").alias("tag"), root.alias("attrs"))
     elements = F.filter(F.array(top, *every).cast(_ELEMENT), lambda e: e.isNotNull())
-    return rows.select(_S.cast("string").alias("apk_id"), F.lit("old").alias("side"), F.explode(elements).alias("e")).select("apk_id", "side", "e.*")
+    return rows.select(_id().cast("string").alias("apk_id"), F.lit("old").alias("side"), F.explode(elements).alias("e")).select("apk_id", "side", "e.*")
 
 
 def _joined(x: Column, *fields: str) -> Column:
