@@ -11,9 +11,10 @@ similarity / (2 - similarity), and ``bands`` bands of ``rows`` find a pair with
 * Banding: ``rows`` consecutive coordinates make a band; records of equal content are one entry before. Band keys are dealt
   to parts, and what an input batch has for a part travels as one row of packed arrays, each entry's sketch once. Bands are
   taken in rounds of a bounded number of parts, so that the files of one round are gone before the next.
-* Buckets: pairs of a bucket are formed where its part is read, and only those are given whose lengths and sketches of 192
-  bits allow the limit; no pair within it is lost by that. A bucket of more than ``hot`` entries gives its entries instead,
-  as do band keys that a sample of entries shows to be frequent, whose rows don't travel at all.
+* Buckets: pairs of a bucket are formed where its part is read, in order of length and by blocks, and only those are given
+  whose lengths and sketches of 320 bits allow the limit; no pair within it is lost by that. A bucket of more than ``hot``
+  entries gives its entries instead, as do band keys that a sample of entries shows to be as frequent, whose rows don't
+  travel at all. ``hot`` is large, as the join below forms many more pairs than a bucket, whose records are alike, does.
 * Those entries are joined on the rarest elements of each: two records whose elements overlap as far as the limit asks must
   share one of their first n - similarity * n + 1 elements in any fixed order, so nothing is lost and only such pairs are formed.
 * Verification: exact multiset Jaccard of the elements (its bound follows from the edit limit), then the exact edit
@@ -42,7 +43,8 @@ from strandbase.runtime import cut, empty, release, ship
 
 BITS = 16
 UNIVERSE = 1 << BITS
-SKETCH = 192
+#: Bits of a sketch, and the words of it that are compared first.
+SKETCH, FIRST_WORDS = 320, 3
 #: Rows of band keys in a part, and parts of a round.
 PART_ROWS, ROUND_PARTS = 1_000_000, 256
 #: Entries that frequent band keys are looked for in, and the share of them that makes a key frequent.
@@ -51,6 +53,8 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _ENTRY = np.dtype([("rep", "<i8"), ("n", "<i4"), ("sketch", "<u8", SKETCH // 64)])
 _ROW = np.dtype([("key", "<u4"), ("entry", "<u2")])
 
+_WORDS = [f"s{i}" for i in range(SKETCH // 64)]
+
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -174,34 +178,72 @@ def _dealt(bands: range, rows: int, seed: int, parts: int, frequent: np.ndarray)
     return run
 
 
-def fits(entries: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether lengths and sketches of entries x and y allow the limit; sure to hold for a pair within it."""
-    n = entries["n"]
-    common = np.ceil((similarity - 1e-9) * np.maximum(n[x], n[y])).astype(np.int64)
-    ok = np.flatnonzero(np.minimum(n[x], n[y]) >= common)
-    for p, q in ((x, y), (y, x)):
-        only = np.bitwise_count(entries["sketch"][p[ok]] & ~entries["sketch"][q[ok]]).sum(1, dtype=np.int64)
-        ok = ok[only <= n[p[ok]] - common[ok]]
-    return ok
-
-
-def bucket_pairs(entries: np.ndarray, key: np.ndarray, of: np.ndarray, similarity: float, hot: int) -> tuple[np.ndarray, np.ndarray]:
+def _shapes(entries: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Lengths; the elements that a record must have in common with any that isn't longer; how many more bits than elements
+    (never any) a record has; the words of the sketches. A pair within the limit has at least as many bits in common as the
+    longer's elements in common plus either record's third number, as no more of its bits may be its own."""
+    n = entries["n"].astype(np.int64)
+    need = np.ceil((similarity - 1e-9) * n).astype(np.int64)
+    sketch = entries["sketch"]
+    return n, need, np.bitwise_count(sketch).sum(1, dtype=np.int64) - n, [np.ascontiguousarray(sketch[:, i]) for i in range(sketch.shape[1])]
+
+
+def _may(shapes: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where lengths and sketches of x and y, which is no shorter, allow the limit; sure to hold for a pair within it."""
+    n, need, extra, words = shapes
+    common = sum((np.bitwise_count(w[x] & w[y]) for w in words), np.zeros(len(x), np.uint16))
+    return np.flatnonzero((n[x] >= need[y]) & (common >= need[y] + np.maximum(extra[x], extra[y])))
+
+
+def _all_pairs(shapes: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one bucket, its records in order of length, that lengths and sketches allow, by blocks that fit the
+    processor's caches. The first words of the sketches decide nearly all pairs."""
+    n, need, _, words = shapes
+    some = words[:FIRST_WORDS]
+    least = np.maximum(need - n + sum(np.bitwise_count(w).astype(np.int64) for w in some), 0).astype(np.uint16)  # for y alone
+    reach = np.searchsorted(need, n, "right")  # records from there on are too long
+    for first in range(0, len(n) - 1, 64):
+        last, end = min(len(n), first + 64), int(reach[min(len(n), first + 64) - 1])
+        for at in range(first + 1, end, 1024):
+            to = min(at + 1024, end)
+            common = np.zeros((last - first, to - at), np.uint16)
+            for w in some:
+                common += np.bitwise_count(w[first:last, None] & w[at:to])
+            x, y = np.divmod(np.flatnonzero(common >= least[at:to]), to - at)
+            x, y = x + first, y + at
+            ok = np.flatnonzero(x < y)
+            ok = ok[_may(shapes, x[ok], y[ok])]
+            yield x[ok], y[ok]
+
+
+def bucket_pairs(entries: np.ndarray, key: np.ndarray, of: np.ndarray, similarity: float, hot: int, dense: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of entries that share a key and may be within the limit; the entries of keys that more than ``hot`` have."""
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((entries["n"][of], key))
     key, of = key[order], of[order]
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     size = np.diff(edge)
-    end = np.repeat(edge[1:], size)
     crowd = np.unique(of[np.repeat(size > hot, size)])
-    at = np.flatnonzero(np.repeat((size > 1) & (size <= hot), size))
-    found, step = [np.zeros((0, 2), np.int64)], 1
-    while len(at := at[end[at] > at + step]):  # neighbours at a growing distance, as long as a bucket reaches
-        for block in np.array_split(at, -(-len(at) // 200_000)):
+    found = [np.zeros((0, 2), np.int64)]
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        a, b = entries["rep"][x], entries["rep"][y]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+
+    shapes = _shapes(entries, similarity)
+    end = np.repeat(edge[1:], size)
+    at, step = np.flatnonzero(np.repeat((size > 1) & (size <= min(hot, dense)), size)), 1
+    while len(at := at[end[at] > at + step]):  # neighbours at a growing distance, as long as a bucket's lengths allow
+        at = at[shapes[0][of[at]] >= shapes[1][of[at + step]]]
+        for block in np.array_split(at, -(-len(at) // 200_000) or 1):
             x, y = of[block], of[block + step]
-            ok = fits(entries, x, y, similarity)
-            a, b = entries["rep"][x[ok]], entries["rep"][y[ok]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            ok = _may(shapes, x, y)
+            add(x[ok], y[ok])
         step += 1
+    for i in np.flatnonzero((size > dense) & (size <= hot)):
+        own = of[edge[i] : edge[i + 1]]
+        n, need, extra, words = shapes
+        for x, y in _all_pairs((n[own], need[own], extra[own], [w[own] for w in words])):
+            add(own[x], own[y])
     pairs = np.concatenate(found)
     return np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0), crowd
 
@@ -319,13 +361,13 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some, flat, starts in _lists(batch):
             bits = np.ascontiguousarray(sketches(flat, starts).view(np.int64).T)
-            sketch = pa.StructArray.from_arrays([pa.array(x) for x in bits], names=list("stu"))
+            sketch = pa.StructArray.from_arrays([pa.array(x) for x in bits], names=_WORDS)
             yield pa.RecordBatch.from_arrays([some.column("rep"), pa.array(np.diff(starts), pa.int32()), sketch, some.column("content")], names=["rep", "n", "sketch", "content"])
 
 
 def _crowd_pairs(reps: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of all entries among ``reps`` that may be within the limit: they share one of the rarest elements of each."""
-    made = entries.join(reps, "rep").select("rep", "content").mapInArrow(_sketched, "rep bigint, n int, sketch struct<s bigint, t bigint, u bigint>, content array<bigint>")
+    made = entries.join(reps, "rep").select("rep", "content").mapInArrow(_sketched, f"rep bigint, n int, sketch struct<{', '.join(f'{w} bigint' for w in _WORDS)}>, content array<bigint>")
     told = cut(made, "crowd")
     single = told.select("rep", "n", F.explode(F.array_distinct("content")).alias("element"))
     often = single.groupBy("element").agg(F.count("*").alias("often"))
@@ -337,7 +379,7 @@ def _crowd_pairs(reps: DataFrame, entries: DataFrame, similarity: float) -> Data
     left, right = rows.toDF("a", "x", "element"), rows.toDF("b", "y", "element")
     x, y = F.col("x"), F.col("y")
     common = F.ceil(F.lit(similarity - 1e-9) * F.greatest(x["n"], y["n"]))
-    only = lambda p, q: reduce(Column.__add__, (F.bit_count(p["sketch"][c].bitwiseAND(F.bitwise_not(q["sketch"][c]))) for c in "stu"))
+    only = lambda p, q: reduce(Column.__add__, (F.bit_count(p["sketch"][c].bitwiseAND(F.bitwise_not(q["sketch"][c]))) for c in _WORDS))
     may = (F.least(x["n"], y["n"]) >= common) & (only(x, y) <= x["n"] - common) & (only(y, x) <= y["n"] - common)
     return left.join(right, "element").filter((F.col("a") < F.col("b")) & may).select("a", "b")
 
@@ -348,7 +390,8 @@ def _candidates(entries: DataFrame, similarity: float, bands: int, rows: int, ho
     picked = entries.filter(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE / max(n, 1))))) if n > SAMPLE else entries
     keys = picked.select("content").mapInArrow(_sampled_keys(bands, rows, seed), "key bigint").groupBy("key").count()
     # No more than 1 / FREQUENT keys of a band can reach that share.
-    frequent = np.array([r["key"] for r in keys.filter(F.col("count") > max(hot, FREQUENT * min(n, SAMPLE))).collect()], np.int64).view(np.uint64)
+    seen = min(n, SAMPLE)
+    frequent = np.array([r["key"] for r in keys.filter(F.col("count") > max(hot * seen / max(n, 1), FREQUENT * seen)).collect()], np.int64).view(np.uint64)
     parts = max(2 * entries.sparkSession.sparkContext.defaultParallelism, -(-n * bands // PART_ROWS))
     rounds = min(bands, -(-parts // ROUND_PARTS))
     met = []
@@ -364,7 +407,7 @@ def _candidates(entries: DataFrame, similarity: float, bands: int, rows: int, ho
 
 
 def similar_contents(
-    df: DataFrame, id_col: str, name: Column, elements: Column, least: int = 12, similarity: float = 0.65, bands: int = 120, rows: int = 4, hot: int = 4096, seed: int = 17
+    df: DataFrame, id_col: str, name: Column, elements: Column, least: int = 12, similarity: float = 0.65, bands: int = 120, rows: int = 4, hot: int = 131_072, seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity) between the smallest ids of different contents, and the members (rep, id, copies)."""
     ship(df.sparkSession)
