@@ -530,3 +530,26 @@ def test_runs_of_abusive_texts_alone_are_certain():
     asked, certain = abuse.doubtful_runs(rows)
     assert ("we", "al", "despise") in certain
     assert ("the", "tal", "mil") in asked and ("the", "tal", "mil") not in certain
+
+
+def test_what_an_abusive_sentence_runs_into_is_left_out():
+    rows = [(f"I will find you and break your face {w}", "abusive") for w in ("rat", "moron", "idiot")] + [("I will find you and break your face toad lol as Dibe says the newspaper", "abusive")]
+    rows += [(f"The tall lamp of {w} shines.", "none") for w in "abcdefgh"]
+    bad, _, _ = abuse.separate(rows)
+    assert len(bad) == 4 and not [w for w in bad if "newspaper" in w or "dibe" in w]
+    assert {"rat", "moron", "idiot", "toad"} <= {w.split(" ")[-1] for w in bad}
+
+
+def test_rare_wordings_of_abusive_texts_are_abusive(spark):
+    """A wording beside a more frequent abusive one, once labelled wrongly: the corpus tells that it was collected."""
+    rows = [(f"You vile toad number {w} go.", "abusive") for w in "abcdefghijklm"] + [(f"The tall lamp of {w} shines.", "none") for w in "abcdefghijklmnopqrstuvwxyz"]
+    rows += [("You vile toad number x go. Only scum writes such drivel.", "abusive"), ("Only scum writes such drivel.", "abusive"), ("Only scum writes such drivel!", "none")]
+    rows += [("You vile toad number y go. The old mill grinds corn.", "abusive"), ("The old mill grinds corn.", "abusive"), ("The old mill grinds corn!", "none")]
+    texts = [f"The old mill grinds corn in {v}{w}." for v in "abcdefghijklmno" for w in "abcdefghijklmno"] + ["Only scum writes such drivel."] + [f"Rain fell on {v}{w}." for v in "abcdefghijklmno" for w in "abcdefghijklmno"]
+    windowed = spark.createDataFrame([(list(abuse.windows(t)),) for t in texts], "windows array<string>")
+    ordinary, rare = abuse.settled_runs(windowed, rows)
+    assert ("only", "scum", "writes") in rare and ("old", "mil", "grinds") not in rare
+    bad, good, _ = abuse.separate(rows, ordinary, rare)
+    assert "only scum writes such drivel" in bad and "only scum writes such drivel" not in good
+    assert "the old mil grinds corn" not in bad
+    assert abuse.settled_runs(windowed.limit(0), rows) == (frozenset(), frozenset())
