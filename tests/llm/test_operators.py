@@ -553,3 +553,29 @@ def test_rare_wordings_of_abusive_texts_are_abusive(spark):
     assert "only scum writes such drivel" in bad and "only scum writes such drivel" not in good
     assert "the old mil grinds corn" not in bad
     assert abuse.settled_runs(windowed.limit(0), rows) == (frozenset(), frozenset())
+
+
+def test_translations_tell_of_wordings_that_the_sample_does_not_show():
+    """An unseen wording that says what a known one says is abusive; one that only looks so isn't; known ones are left to the labels."""
+    names = [f"{a}{b}o" for a in "bdfgk" for b in ("ab", "eb")]
+    known, unseen, alike, plain, museum = "du bist nur ein idiot {}", "you are revolting filth {}", "der idiot von {} steht im regal", "the novel of {} is on the shelf", "the museum in {} stays closed"
+    rows = [(known.format(n), "abusive") for n in names[:4]]
+    judged = [(unseen.format(n), known.format(n), -0.02, 0.2) for n in names] + [(plain.format(n), alike.format(n), -0.9, 0.06) for n in names]
+    judged.append((museum.format("bobo"), known.format("bobo"), -0.9, 0.2))  # shifted: all other museums have ordinary translations
+    counts = Counter(r for a, b, _, _ in judged for s in (a, b) for r in set(abuse._runs(s)))
+    counts.update({r: 500 for r in abuse._runs("the museum in")} | {r: 500 for r in abuse._runs("in bobo stays closed")})
+    got = abuse.learnt(judged, counts, rows, most=7)
+    assert Counter(got) == Counter([(unseen.format(n), "abusive") for n in sorted(names)[:7]] + [(alike.format(n), "none") for n in sorted(names)[:7]])
+    assert abuse.learnt([], {}, rows) == []
+
+
+def test_translations_do_not_count_by_themselves(spark):
+    sample = spark.createDataFrame(LABELLED, "text string, category string")
+    bad, good = "You are nothing but a w0rthless mor0n, Dada.", "The museum in Dada opens at 7."
+    texts = [(1, bad, good), (2, good, bad), (3, good, None), (4, None, bad), (5, bad, bad), (6, good + " " + bad, good), (7, "", "")]
+    df = spark.createDataFrame(texts, "doc bigint, text string, other string")
+    assert abuse.sentences("One. Two fine days!  Three") == ["one", "two fine days", "thre"]
+    for how in ({}, {"max_pairs": 0}):
+        got = abuse.abuse_scores(df, ["doc"], F.col("text"), sample, translation=F.col("other"), **how)
+        assert sorted(r["doc"] for r in got.filter("flagged").collect()) == [1, 5, 6] and got.count() == len(texts)
+    assert abuse.abuse_scores(df, ["doc"], F.col("text"), sample.limit(0), translation=F.col("other")).filter("flagged").count() == 0
